@@ -7,9 +7,10 @@ equal registers, less the chance collisions of such short registers, drops the h
 on the full sets.
 
 Groups. Equal sets are one class from the start, so copies are never paired. In a bucket of a band each class
-meets the smallest only (a star). Classes that are then still in different components of a bucket are paired in a
-second pass; those already together are not. So a group of n near copies gives about n pairs, and no pair of
-different texts that share a band stays untested unless they are connected already.
+meets the most central one only (a star). Classes that are then still in different components of a bucket are
+compared in blocks of BLOCK, estimate first and full sets after, and a block gives the links of a spanning forest
+only. So a group of n near copies gives about n rows, and no pair of different texts that share a band stays
+untested unless they are connected already.
 
 Edge cases. A null or empty text, or one of white space, has the empty set: no links, its own component, kept.
 Fewer words than a shingle's: the whole sequence is the one shingle. Repeated texts share a component. Ties: the
@@ -34,6 +35,8 @@ BUCKETS, ROWS = 256, 6
 MANTISSA = 10
 #: Standard deviations of the estimate below the threshold at which a candidate is dropped unverified.
 MARGIN = 4.5
+#: Most classes of a bucket's block; what the stars leave apart is compared block by block.
+BLOCK = 256
 
 
 def registers(sets: np.ndarray, bounds: np.ndarray, buckets: int = BUCKETS) -> np.ndarray:
@@ -141,6 +144,75 @@ def confirmed(pairs: DataFrame, docs: DataFrame, key: str, text: str, width: int
     return out
 
 
+def forest(names: np.ndarray, component: np.ndarray, equal: np.ndarray) -> list[tuple[int, int]]:
+    """Of the pairs marked in equal, as many as connect what they connect (component: what is connected before)."""
+    above = {int(c): int(c) for c in component}
+
+    def root(x: int) -> int:
+        while above[x] != x:
+            above[x] = x = above[above[x]]
+        return x
+
+    out = []
+    for i, j in zip(*np.nonzero(np.triu(equal, 1)), strict=True):
+        a, b = root(int(component[i])), root(int(component[j]))
+        if a != b:
+            above[max(a, b)] = min(a, b)
+            out.append((int(min(names[i], names[j])), int(max(names[i], names[j]))))
+    return out
+
+
+def overlaps(sets: list[np.ndarray], columns: int = 4096) -> np.ndarray:
+    """The sizes of all intersections of some sets of distinct values."""
+    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    values, place, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    twice = np.cumsum(count > 1) - 1
+    some = count[place] > 1
+    owner, place = owner[some], twice[place[some]]
+    order = np.argsort(place, kind="stable")
+    owner, place = owner[order], place[order]
+    out = np.zeros((len(sets), len(sets)), np.float32)
+    for a in range(0, int(place[-1]) + 1 if len(place) else 0, columns):
+        lo, hi = np.searchsorted(place, (a, a + columns))
+        part = np.zeros((len(sets), columns), np.float32)
+        part[owner[lo:hi], place[lo:hi] - a] = 1
+        out += part @ part.T
+    return out.astype(np.int64)
+
+
+def residue(rest: DataFrame, classes: DataFrame, docs: DataFrame, key: str, text: str, width: int, percent: int) -> DataFrame:
+    """Links (a, b) between classes of one bucket and different components; rest: (key, members, rep, n, component)."""
+    threshold = percent / 100
+    ids = common.written(rest.select(F.col("rep").alias("id")).distinct(), "ids")
+    some = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).join(common.small(ids), "id", "left_semi")
+    sets = common.written(shingles(some, "id", "text", width).withColumnRenamed("id", "rep").join(classes.select("rep", "sketch"), "rep"), "sets")
+    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
+    dealt = rest.withColumn("own", F.pmod(F.xxhash64("rep"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    dealt = dealt.select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "rep", "n", "component").join(sets, "rep")
+
+    def of(group: pa.Table) -> pa.Table:
+        names, n, component = (group.column(c).to_numpy() for c in ("rep", "n", "component"))
+        table = np.stack([np.frombuffer(x, np.uint16) for x in group.column("sketch").to_pylist()])
+        same = np.zeros((len(n), len(n)), np.int32)
+        for register in range(table.shape[1]):
+            same += table[:, register, None] == table[None, :, register]
+        chance = expected_collisions(n[:, None], n[None, :], table.shape[1]) / table.shape[1]
+        estimate = (same / table.shape[1] - chance) / (1 - chance)
+        spread = np.sqrt(threshold * (1 - threshold) / np.minimum(table.shape[1], np.minimum(n[:, None], n[None, :])))
+        likely = (estimate >= threshold - MARGIN * spread) & (component[:, None] != component[None, :])
+        on = np.flatnonzero(likely.any(axis=1))
+        links = []
+        if len(on):
+            lists = group.column("shingles").combine_chunks()
+            flat, bounds = lists.values.to_numpy(), lists.offsets.to_numpy()
+            both = overlaps([flat[bounds[i] : bounds[i + 1]] for i in on])
+            union = n[on][:, None] + n[on][None, :] - both
+            links = forest(names[on], component[on], likely[np.ix_(on, on)] & (100 * both >= percent * union))
+        return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
+
+    return dealt.groupBy("key", "lo", "hi").applyInArrow(of, "a long, b long").distinct()
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 75) -> DataFrame:
     """Per row: id, n_shingles, component_id (smallest id reachable by links), kept (id = component_id)."""
     threshold = percent / 100
@@ -150,8 +222,11 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     bands = BUCKETS // ROWS
     keys = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: F.xxhash64(i, F.substring(F.col("sketch"), i * (2 * ROWS) + 1, F.lit(2 * ROWS))))
     banded = classes.select("rep", "n", F.posexplode(keys).alias("band", "key")).select("rep", "n", F.xxhash64("band", "key").alias("key"))
-    heads = banded.groupBy("key").agg(F.min("rep").alias("pivot"), F.count("*").alias("members")).where("members > 1").select("key", "pivot")
-    shared = common.written(banded.join(heads, "key"), "bands")
+    sizes_of = banded.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
+    shared = common.written(banded.join(sizes_of, "key"), "bands")
+    # The centre of a star: the class that meets the most others over all bands, as the origin of a group of copies does.
+    met = shared.groupBy("rep").agg(F.sum(F.col("members") - 1).alias("met"))
+    shared = common.written(shared.drop("members").join(met, "rep"), "bands")
     sizes = classes.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
     close = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent
 
@@ -159,16 +234,16 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
         other = sizes.select(F.col("a").alias("b"), F.col("na").alias("nb"), F.col("sa").alias("sb"))
         return confirmed(estimates(pairs.join(other, "b").join(sizes, "a").where(close), threshold), docs, key, text, width, percent)
 
-    star = linked(shared.where("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct())
+    starred = shared.join(shared.groupBy("key").agg(F.max_by("rep", F.struct("met", -F.col("rep"))).alias("pivot")), "key")
+    star = linked(starred.where("rep <> pivot").select(F.least("pivot", "rep").alias("a"), F.greatest("pivot", "rep").alias("b")).distinct())
     label = common.components(star)
-    # The rest: what shares a band, was no star's centre and is not yet connected.
-    named = shared.join(label.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    open_keys = named.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
-    rest = common.written(named.join(open_keys, "key", "left_semi").where("rep <> pivot"), "rest")
-    x, y = (rest.select("key", *(F.col(c).alias(f"{c}_{s}") for c in ("rep", "n", "component"))) for s in "xy")
-    apart = (F.col("component_x") < F.col("component_y")) & (F.least("n_x", "n_y") * 100 >= F.greatest("n_x", "n_y") * percent)
-    more = linked(x.join(y, "key").where(apart).select(F.least("rep_x", "rep_y").alias("a"), F.greatest("rep_x", "rep_y").alias("b")).distinct())
-    label = common.components(star.unionAll(more)) if more.head(1) else label
+    # What is left: buckets with classes that are not yet connected, without the centres, which have met all others there.
+    named = starred.where("rep <> pivot").join(label.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    open_keys = named.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("members")).where("lo < hi").select("key", "members")
+    rest = common.written(named.join(open_keys, "key").select("key", "members", "rep", "n", "component"), "rest")
+    if rest.head(1):
+        more = common.written(residue(rest, classes, docs, key, text, width, percent), "more")
+        label = common.components(star.unionAll(more)) if more.head(1) else label
     members = every.select("id", "n", "f1", "f2").join(classes.select("f1", "f2", "n", "rep"), ["f1", "f2", "n"], "left")
     return members.join(label.withColumnRenamed("node", "rep"), "rep", "left").select(
         "id", F.col("n").alias("n_shingles"), (found := F.coalesce("component", "rep", "id")).alias("component_id"), (found == F.col("id")).alias("kept"))
