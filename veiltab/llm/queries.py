@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from . import ctw, minhash, packing
+from . import ctw, html, minhash, packing, toxicity, warc
 
 QUERIES = {
     "op1_ctw": ctw.op1_ctw,
+    "op2_html": html.op2_html,
     "op3_packing": packing.op3_packing,
+    "op4_warc": warc.op4_warc,
+    "op5_toxicity": toxicity.op5_toxicity,
     "op7_minhash": minhash.op7_minhash,
 }
 SQL: dict[str, str] = {}
