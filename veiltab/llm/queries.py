@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ctw, html, minhash, packing, toxicity, warc
+from . import boilerplate, covertree, ctw, decontaminate, html, licences, minhash, packing, toxicity, warc
 
 QUERIES = {
     "op1_ctw": ctw.op1_ctw,
@@ -10,6 +10,11 @@ QUERIES = {
     "op3_packing": packing.op3_packing,
     "op4_warc": warc.op4_warc,
     "op5_toxicity": toxicity.op5_toxicity,
+    "op6_covertree": covertree.op6_covertree,
     "op7_minhash": minhash.op7_minhash,
+    "op8_licences": licences.op8_licences,
+    "op9_boilerplate": boilerplate.op9_boilerplate,
+    "op10_decontaminate": decontaminate.op10_decontaminate,
 }
-SQL: dict[str, str] = {}
+#: The rest have none: models, trees, sketches, archives and token ids are beyond SQL; tests hold them against brute force.
+SQL = {"op9_boilerplate": boilerplate.SQL}
