@@ -102,10 +102,11 @@ def scanned(docs: DataFrame, key: str = "doc_id", text: str = "text", templates:
         rows = rows.withColumn(f"t{k}", F.when(some & F.array_contains(w, min(t.words, key=rank)), here(t)).otherwise(none))
     said = F.concat(F.lit(" "), F.array_join("words", " "), F.lit(" "))
     places, labels, base_labels, shares = [], [], [], []
+    whole_places = lambda found, n: F.transform(F.filter(found, lambda x: x["found"] == n), lambda x: x["start"])
     for k, t in enumerate(templates):
         size, col = len(t.words), F.col(f"t{k}")
         if t.base:
-            full = F.transform(F.filter(col, lambda x, size=size: x["found"] == size), lambda x: x["start"])
+            full = whole_places(col, size)
             places.append(full)
             base_labels.append(F.when(F.size(full) > 0, F.lit(t.label)))
             labels.append(base_labels[-1])
