@@ -256,4 +256,4 @@ def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays: that with the smallest id."""
     kept = common.written(near_duplicates(docs).where("not kept").select(F.col("id").alias("doc_id")), "dropped")
-    return docs.join(common.small(kept), "doc_id", "left_anti")
+    return docs.join(common.small(kept), "doc_id", "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
