@@ -1,15 +1,16 @@
 """Boilerplate lines by site-relative frequency, in DataFrame functions only.
 
 Lines are trimmed of blanks, tabs and carriage returns at both ends to be compared. Per host the number of pages
-that hold a line is divided by the host's pages; lines above RATIO on at least PAGES pages are dropped from every
-page of that host, the others stay as they were.
+that hold a line is divided by the host's pages; lines above PERCENT of them, on at least PAGES pages, are dropped
+from every page of that host, the others stay as they were. Equal texts of a host are one page in both numbers: else
+a page copied often enough would lose all its lines in every copy.
 
 Counts are partial sums per (host, line hash) before they are shuffled, so a host with a third of all rows is no hot
-group. A host has at most (its lines per page) / RATIO such lines, so they are kept as one short array per host; that
+group. A host has at most (its lines per page) / PERCENT such lines, so they are kept as one short array per host; that
 table is broadcast when its measured size allows, and joined otherwise.
 
 Edge cases. A null host is a host like any other. A null text stays null and has no lines. A blank line is never
-boilerplate. A line counts once per page however often it is repeated there. Repeated rows are pages of their own.
+boilerplate. A line counts once per page however often it is repeated there. Repeated rows are one page.
 A page that loses all its lines stays, with the empty text. An empty table gives no rows. Other columns pass through.
 """
 
@@ -37,8 +38,10 @@ def repeated(docs: DataFrame, host: str = "source", text: str = "text", percent:
     """A row per host with boilerplate: (host, dropped: hashes of its lines), as a written table."""
     own = F.coalesce(F.col(host).cast("string"), F.lit("")).alias("host")
     held = F.filter(_lines(F.col(text)), lambda x: F.length(F.btrim(x, F.lit(_BLANKS))) > 0)
-    lines = docs.select(own, F.explode(F.array_distinct(F.transform(held, _hash))).alias("line")).groupBy("host", "line").agg(F.count("*").alias("n")).where(F.col("n") >= pages)
-    totals = docs.select(own).groupBy("host").agg(F.count("*").alias("total"))
+    page = F.xxhash64(F.col(text)).alias("page")
+    filled = docs.where(F.col(text).isNotNull())
+    lines = filled.select(own, page, F.explode(F.array_distinct(F.transform(held, _hash))).alias("line")).groupBy("host", "line").agg(F.count_distinct("page").alias("n")).where(F.col("n") >= pages)
+    totals = filled.select(own, page).groupBy("host").agg(F.count_distinct("page").alias("total"))
     return common.written(lines.join(totals, "host").where(F.col("n") * 100 > F.col("total") * percent).groupBy("host").agg(F.collect_set("line").alias("dropped")), "boilerplate")
 
 
@@ -68,10 +71,10 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 SQL = f"""
-WITH lines AS (SELECT DISTINCT doc_id, source, trim(line, ' ' || chr(9) || chr(13)) AS line
-               FROM (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line FROM documents)),
+WITH lines AS (SELECT DISTINCT source, text, trim(line, ' ' || chr(9) || chr(13)) AS line
+               FROM (SELECT source, text, unnest(string_split(text, chr(10))) AS line FROM documents)),
 boiler AS (SELECT l.source, l.line FROM (SELECT source, line, count(*) AS n FROM lines WHERE line <> '' GROUP BY source, line) l
-           JOIN (SELECT source, count(*) AS total FROM documents GROUP BY source) t ON l.source = t.source
+           JOIN (SELECT source, count(DISTINCT text) AS total FROM documents GROUP BY source) t ON l.source = t.source
            WHERE n >= {PAGES} AND n * 100 > total * {PERCENT}),
 placed AS (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS k FROM documents),
 kept AS (SELECT p.doc_id, p.line, p.k, b.line IS NULL AS stays FROM placed p
