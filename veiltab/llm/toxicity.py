@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from . import common
 
 WINDOW, DICTIONARY = 20, 8192
-TRAIN_DOCS = 4000
+TRAIN_DOCS = 2000
 COVER, RATIO = 4, 8.0
 FOLDS, HELD = 5, 0
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -60,24 +60,26 @@ def telling(toxic: list[list[str]], ordinary: list[list[str]]) -> list[str]:
             out.add(f" {w} ")
         return out
 
-    in_toxic, in_ordinary, of = Counter(), Counter(), []
+    # Strings are made anew for each pass: held all at once they would be most of the driver's memory.
+    least = max(3, 0.004 * len(toxic))
+    in_toxic: Counter[str] = Counter()
     for said in toxic:
-        of.append(strings(said))
-        in_toxic.update(of[-1])
+        in_toxic.update(strings(said))
+    in_toxic = Counter({x: c for x, c in in_toxic.items() if c >= least})
+    in_ordinary: Counter[str] = Counter()
     for said in ordinary:
-        in_ordinary.update(strings(said))
-    least = max(3, 0.004 * len(toxic))
+        in_ordinary.update(x for x in strings(said) if x in in_toxic)
     weight = {}
     for x, c in in_toxic.items():
         ratio = (c / len(toxic)) / ((in_ordinary[x] + 0.5) / max(len(ordinary), 1))
-        if c >= least and ratio >= RATIO:
+        if ratio >= RATIO:
             weight[x] = math.log(ratio)
-    need, where = [COVER] * len(of), defaultdict(list)
-    for i, found in enumerate(of):
-        for x in found:
+    need, where = [COVER] * len(toxic), defaultdict(list)
+    for i, said in enumerate(toxic):
+        for x in strings(said):
             if x in weight:
                 where[x].append(i)
-    heap = [(-len(v) * weight[x], x) for x, v in where.items()]
+    heap = [(-len(v) * weight[x], x) for x, v in sorted(where.items())]
     heapq.heapify(heap)
     chosen: list[str] = []
     while heap:
@@ -132,12 +134,14 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def fit(texts: list[str | None], toxic: list[bool]) -> Model | None:
-    said = [words(t) for t in texts]
-    seen: set[tuple[bool, str]] = set()
+def fit(texts: list[str | None], toxic: list[bool], share: float | None = None) -> Model | None:
+    """share: that of toxic rows among all training rows, where texts hold the classes in other proportions."""
+    same: dict[str, str] = {}
+    said = [[same.setdefault(w, w) for w in words(t)] for t in texts]  # equal words share their memory
+    seen: set[tuple[bool, int]] = set()
     bad, good = [], []
     for w, y in zip(said, toxic, strict=True):  # copies count once
-        if (key := (bool(y), " ".join(w))) not in seen:
+        if (key := (bool(y), hash(tuple(w)))) not in seen:
             seen.add(key)
             (bad if y else good).append(w)
     if not bad or not good:
@@ -154,9 +158,11 @@ def fit(texts: list[str | None], toxic: list[bool]) -> Model | None:
     model.mean, model.scale = x.mean(axis=0), x.std(axis=0) + 1e-9
     z = np.c_[(x - model.mean) / model.scale, np.ones(len(x))]
     w, ridge = np.zeros(8), np.diag([1e-2] * 7 + [1e-6])
+    share = y.mean() if share is None else share
+    each = np.where(y > 0, share / y.mean(), (1 - share) / (1 - y.mean()))
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(z @ w, -40, 40)))
-        step = np.linalg.solve((z.T * (p * (1 - p))) @ z + ridge, z.T @ (p - y) + ridge @ w)
+        step = np.linalg.solve((z.T * (each * p * (1 - p))) @ z + ridge, z.T @ (each * (p - y)) + ridge @ w)
         w -= step
         if np.abs(step).max() < 1e-9:
             break
@@ -168,12 +174,13 @@ def learnt(docs: DataFrame, labels: DataFrame, training: Column, key: str = "doc
     """The model of the labelled rows that `training` marks, at most TRAIN_DOCS of each class."""
     said = labels.where(F.col("toxic").isNotNull()).groupBy(F.col(key).cast("long").alias("id")).agg(F.max("toxic").alias("toxic")).withColumn("draw", F.xxhash64("id"))
     few = said.where(training).where("toxic = 1").orderBy("draw", "id").limit(TRAIN_DOCS).unionAll(said.where(training).where("toxic = 0").orderBy("draw", "id").limit(TRAIN_DOCS))
+    bad, every = said.where(training).where("toxic IN (0, 1)").agg(F.coalesce(F.sum("toxic"), F.lit(0)), F.count("*")).first()
     few = common.written(few, "labelled")  # at most 2 * TRAIN_DOCS rows, so the broadcast is bounded
     rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).join(F.broadcast(few), "id")
     got = rows.select("id", "text", "toxic").toArrow()
     order = np.argsort(got.column("id").to_numpy(), kind="stable")
     texts, toxic = got.column("text").to_pylist(), got.column("toxic").to_pylist()
-    return fit([texts[i] for i in order], [bool(toxic[i]) for i in order])
+    return fit([texts[i] for i in order], [bool(toxic[i]) for i in order], bad / every if every else None)
 
 
 def scored(docs: DataFrame, model: Model | None, key: str = "doc_id", text: str = "text") -> DataFrame:
