@@ -13,20 +13,20 @@ from .marginals import all_marginals
 
 def _tvd(p: DataFrame, q: DataFrame, on: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """Half the L1 distance of two tables of shares (on.., p) and (on.., q), by groups."""
-    both = p.join(q, list(on), "full").fillna(0.0, ["p", "q"])
-    half = (F.sum(F.abs(F.col("p") - F.col("q"))) / 2).alias("tvd")
+    both = p.join(q, list(on), "full").fillna(0.0, ["__p", "__q"])
+    half = (F.sum(F.abs(F.col("__p") - F.col("__q"))) / 2).alias("tvd")
     return both.groupBy(*by).agg(half) if by else both.agg(F.coalesce(half, F.lit(0.0)).alias("tvd"))
 
 
 def _shares(df: DataFrame, column, out: str) -> DataFrame:
     counts = df.select(column.alias("value")).where("value is not null").groupBy("value").agg(F.count(F.lit(1)).alias("n"))
-    return counts.crossJoin(F.broadcast(counts.agg(F.sum("n").alias("t")))).select("value", (F.col("n") / F.col("t")).alias(out))
+    return counts.crossJoin(F.broadcast(counts.agg(F.sum("n").alias("__total")))).select("value", (F.col("n") / F.col("__total")).alias(out))
 
 
 def categorical_tvd(original: DataFrame, synthetic: DataFrame, column: str) -> DataFrame:
     """Over the values that are not null."""
     c = F.col(column).cast("string")
-    return _tvd(_shares(original, c, "p"), _shares(synthetic, c, "q"), ["value"])
+    return _tvd(_shares(original, c, "__p"), _shares(synthetic, c, "__q"), ["value"])
 
 
 def combined_edges(original: DataFrame, synthetic: DataFrame, column: str, bins: int = 10) -> list[float]:
@@ -42,7 +42,7 @@ def numeric_tvd(original: DataFrame, synthetic: DataFrame, column: str, edges: S
     edges = list(edges) if edges else combined_edges(original, synthetic, column)
     x = F.col(column).cast("string").try_cast("double")
     code = F.when((x >= float(edges[0])) & (x <= float(edges[-1])), edge_bin(x, edges))
-    return _tvd(_shares(original, code, "p"), _shares(synthetic, code, "q"), ["value"])
+    return _tvd(_shares(original, code, "__p"), _shares(synthetic, code, "__q"), ["value"])
 
 
 def tvd_table(original: DataFrame, synthetic: DataFrame, kinds: dict[str, str], edges: dict[str, Sequence[float]] | None = None) -> DataFrame:
@@ -62,9 +62,9 @@ def tvd_table(original: DataFrame, synthetic: DataFrame, kinds: dict[str, str],
     def shares(df: DataFrame, out: str) -> DataFrame:
         long = df.select(F.explode(F.array(*(F.struct(F.lit(c).alias("column"), v.alias("value")) for c, v in values.items()))).alias("s")).select("s.column", "s.value").where("value is not null")
         counts = long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
-        return counts.join(counts.groupBy("column").agg(F.sum("n").alias("t")), "column").select("column", "value", (F.col("n") / F.col("t")).alias(out))
+        return counts.join(counts.groupBy("column").agg(F.sum("n").alias("__total")), "column").select("column", "value", (F.col("n") / F.col("__total")).alias(out))
 
-    return _tvd(shares(original, "p"), shares(synthetic, "q"), ["column", "value"], ["column"])
+    return _tvd(shares(original, "__p"), shares(synthetic, "__q"), ["column", "value"], ["column"])
 
 
 def marginal_tvd(original: DataFrame, synthetic: DataFrame, attrs: Sequence[str], ways: Sequence[int]) -> DataFrame:
@@ -74,10 +74,10 @@ def marginal_tvd(original: DataFrame, synthetic: DataFrame, attrs: Sequence[str]
     def shares(df: DataFrame, out: str) -> DataFrame:
         counts = all_marginals(df.select(*(F.coalesce(F.col(a).cast("string"), F.lit("__NULL__")).alias(a) for a in attrs)), attrs, ways)
         counts = counts.select("marginal", *(F.coalesce(F.col(a), F.lit("")).alias(a) for a in attrs), "n")
-        total = counts.groupBy("marginal").agg(F.sum("n").alias("t"))
-        return counts.join(total, "marginal").select("marginal", *attrs, (F.col("n") / F.col("t")).alias(out))
+        total = counts.groupBy("marginal").agg(F.sum("n").alias("__total"))
+        return counts.join(total, "marginal").select("marginal", *attrs, (F.col("n") / F.col("__total")).alias(out))
 
-    return _tvd(shares(original, "p"), shares(synthetic, "q"), ["marginal", *attrs], ["marginal"])
+    return _tvd(shares(original, "__p"), shares(synthetic, "__q"), ["marginal", *attrs], ["marginal"])
 
 
 def answer_errors(real: DataFrame, fake: DataFrame, key: str = "query") -> DataFrame:
