@@ -59,20 +59,35 @@ class Tree:
             levels.append(bounds)
             groups = after
         self.order = np.concatenate(groups) if groups else np.zeros(0, int)
-        self.x = x[self.order]
-        ends = np.concatenate(([0], np.cumsum([len(g) for g in groups])))
-        # levels[k] says how the nodes of level k - 1 are split into those of level k; vectors are the last level.
-        self.starts: list[np.ndarray] = [ends]
+        ends = np.concatenate(([0], np.cumsum([len(g) for g in groups]))).astype(int)
+        starts = [ends]
         for bounds in reversed(levels[1:]):
-            self.starts.insert(0, self.starts[0][np.array(bounds)])
-        self.kids = [np.array(b) for b in levels[1:]] + [ends]
-        self.centres = [s[:-1] for s in self.starts]
+            starts.insert(0, starts[0][np.array(bounds)])
+        self._measure(x[self.order], starts)
+
+    def _measure(self, x: np.ndarray, starts: list[np.ndarray]) -> None:
+        """starts[k] says where the vectors of each node of level k begin, and the end."""
+        self.x, self.starts = x, starts
+        self.kids = [np.searchsorted(after, s) for s, after in zip(starts, starts[1:], strict=False)] + [starts[-1]]
+        self.centres = [s[:-1] for s in starts]
         self.radius = []
-        for s in self.starts:
+        for s in starts:
             own = np.repeat(s[:-1], np.diff(s))
-            far = np.sqrt(np.maximum(0, 2 - 2 * np.einsum("ij,ij->i", self.x, self.x[own])))
+            far = np.sqrt(np.maximum(0, 2 - 2 * np.einsum("ij,ij->i", x, x[own])))
             self.radius.append(np.maximum.reduceat(far, s[:-1]) if len(far) else far)
 
+    def paths(self) -> np.ndarray:
+        """For each vector in order, its node of each level."""
+        return np.stack([np.repeat(np.arange(len(s) - 1), np.diff(s)) for s in self.starts], axis=1)
+
+    @classmethod
+    def again(cls, x: np.ndarray, paths: np.ndarray) -> Tree:
+        """The tree of vectors that stand in its order, from their paths."""
+        out = cls.__new__(cls)
+        out.order = np.arange(len(x))
+        out._measure(x, [np.concatenate((np.flatnonzero(np.concatenate(([True], n[1:] != n[:-1]))), [len(n)])) for n in paths.T])
+        return out
+
     @staticmethod
     def _net(x: np.ndarray, members: np.ndarray, radius: float) -> list[np.ndarray]:
         """Members by centre: a centre is the first that no centre before it covers."""
@@ -172,18 +187,35 @@ def _links(classes: DataFrame, dim: int, threshold: float) -> DataFrame:
         for d in cells:
             apart = math.sqrt(max(0.0, 2 - 2 * float(centres[c] @ centres[d])))
             if apart <= cells[c][1] + cells[d][1] + bound + _SLACK:
-                plan.append((c, blocks[c], d, blocks[d]))
-    meets = F.broadcast(spark.createDataFrame(plan, "cell int, own int, other int, others int"))  # SAMPLE * SAMPLE rows at most
-    rows = dealt.join(meets, "cell").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("own")).cast("int"))
+                plan.append((c, d, blocks[d]))
+    own = F.broadcast(spark.createDataFrame(list(blocks.items()) or [(-1, 1)], "cell int, own int"))  # SAMPLE rows at most
+    placed = dealt.join(own, "cell").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("own")).cast("int"))
+
+    def grown(group: pa.Table) -> pa.Table:
+        tree = Tree(group.column("vec").combine_chunks().flatten().to_numpy().reshape(-1, dim))
+        paths = np.c_[np.arange(len(tree.order)), tree.paths()].astype(np.int32)
+        out = group.select(["rep", "copies", "vec", "cell", "block"]).take(pa.array(tree.order))
+        return out.append_column("path", pa.ListArray.from_arrays(pa.array(np.arange(len(paths) + 1) * paths.shape[1], pa.int32()), pa.array(paths.ravel())))
+
+    # Each block's tree is grown once; a vector carries its place in the tree's order and its node of each level.
+    trees = common.written(placed.select("rep", "copies", "vec", "cell", "block").groupBy("cell", "block").applyInArrow(grown, "rep long, copies long, vec array<double>, cell int, block int, path array<int>"), "trees")
+    meets = F.broadcast(spark.createDataFrame(plan or [(-1, -1, 1)], "cell int, other int, others int"))  # SAMPLE * SAMPLE rows at most
+    rows = trees.join(meets, "cell")
     rows = rows.withColumn("against", F.explode(F.sequence(F.lit(0), F.col("others") - 1)))
     me, you = F.struct(F.col("cell").alias("c"), F.col("block").alias("b")), F.struct(F.col("other").alias("c"), F.col("against").alias("b"))
-    rows = rows.select(F.least(me, you).alias("x"), F.greatest(me, you).alias("y"), "rep", "copies", "vec", (me <= you).alias("left"), (me == you).alias("both"))
+    rows = rows.select(F.least(me, you).alias("x"), F.greatest(me, you).alias("y"), "rep", "copies", "vec", "path", (me <= you).alias("left"), (me == you).alias("both"))
 
     def of(group: pa.Table) -> pa.Table:
         rep, copies = group.column("rep").to_numpy(), group.column("copies").to_numpy()
         x = group.column("vec").combine_chunks().flatten().to_numpy().reshape(-1, dim)
         left, same = group.column("left").to_numpy(), bool(group.column("both")[0].as_py())
-        side = lambda on: (Tree(x[on]), rep[on], copies[on])
+        paths = group.column("path").combine_chunks().flatten().to_numpy().reshape(len(rep), -1)
+
+        def side(on: np.ndarray) -> tuple[Tree, np.ndarray, np.ndarray]:
+            on = np.flatnonzero(on)
+            on = on[np.argsort(paths[on, 0])]
+            return Tree.again(x[on], paths[on, 1:]), rep[on], copies[on]
+
         a, rep_a, copies_a = side(left)
         b, rep_b, copies_b = (a, rep_a, copies_a) if same else side(~left)
         more_a, more_b = np.zeros(len(rep_a), np.int64), np.zeros(len(rep_b), np.int64)
