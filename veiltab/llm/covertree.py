@@ -125,8 +125,21 @@ def dual(a: Tree, b: Tree, threshold: float, same: bool) -> Iterator[tuple[np.nd
                 if len(i):
                     yield i, j
                 continue
-            reach = a.radius[level][p[s : s + _CHUNK], None] + b.radius[level][None, q] + bound
-            i, j = np.nonzero(np.sqrt(np.maximum(0, 2 - 2 * dots)) <= reach + _SLACK)
+            # First one limit per row and kind of column (single vectors, and nodes of some extent), then the exact limit.
+            mine, theirs = a.radius[level][p[s : s + _CHUNK]], b.radius[level][q]
+            i, j = [], []
+            for columns in (np.flatnonzero(theirs <= 0.25), np.flatnonzero(theirs > 0.25)):
+                if len(columns):
+                    widest = mine + theirs[columns].max() + bound + _SLACK
+                    part = dots if len(columns) == len(q) else dots[:, columns]
+                    at, of = np.nonzero(part >= (1 - widest * widest / 2)[:, None])
+                    reach = mine[at] + theirs[columns[of]] + bound + _SLACK
+                    on = part[at, of] >= 1 - reach * reach / 2
+                    i.append(at[on])
+                    j.append(columns[of[on]])
+            i, j = np.concatenate(i), np.concatenate(j)
+            order = np.argsort(i, kind="stable")
+            i, j = i[order], j[order]
             if same:
                 on = p[s + i] <= q[j]
                 i, j = i[on], j[on]
