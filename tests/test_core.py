@@ -152,3 +152,11 @@ def test_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert {r.k: r.n for r in spark.table("m").collect()} == {"a": 2, "b": 1} and math.isclose(1, 1)
+
+
+def test_exact_deltas():
+    assert privacy.gaussian_delta(1.0, 1.0) == pytest.approx(0.12693674, abs=1e-7)
+    sigma = privacy.gaussian_sigma_exact(1.0, 1e-5)
+    assert privacy.gaussian_delta(sigma, 1.0) == pytest.approx(1e-5, rel=1e-6) and sigma < privacy.gaussian_sigma(1, privacy.rho_of(1.0, 1e-5))
+    assert privacy.discrete_gaussian_delta(400.0, 0.1) == pytest.approx(privacy.gaussian_delta(20.0, 0.1), rel=0.05)
+    assert privacy.discrete_gaussian_delta(1.0, 1.0) <= privacy.delta_of(0.5, 1.0)

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import noise
 from ..functions.domain import Domain
 from ..functions.privacy import Ledger, PrivacySpec, gaussian_sigma
-from ..operators import consistency, encode, select, synth
+from ..operators import consistency, encode, graphical, select, synth
 from ..operators.marginals import all_marginals
 from ..operators.overrides import enforce_schema
 
@@ -102,17 +102,21 @@ class MarginalModel:
         return enforce_schema(self.codes.decoded(records, seed), self.schema)
 
 
+def counted(coded: DataFrame, domain: Domain, ways: tuple[int, ...]) -> dict[tuple[str, ...], np.ndarray]:
+    """Tables of counts of all marginals of those sizes, from one pass; what comes to the driver has a row per cell."""
+    counts = {key: np.zeros(domain.project(key).shape) for k in ways for key in combinations(domain.attrs, k)}
+    for r in all_marginals(coded, list(domain.attrs), ways).collect():
+        key = domain.canonical(r["marginal"].split(","))
+        counts[key][tuple(int(r[a]) for a in key)] = r["n"]
+    return counts
+
+
 def fit_marginals(df: DataFrame, kinds: dict[str, dict], privacy: PrivacySpec, config: RunConfig) -> MarginalModel:
     """A tenth of the budget scores the pairs, a tenth measures single attributes, the rest the chosen sets. All counts
     come from one grouping-sets pass; after the noise nothing touches the data again."""
     codes, ledger, rng = Codes(kinds), privacy.ledger(), noise.generator(config.seed)
     domain = codes.domain
-    counts: dict[tuple[str, ...], np.ndarray] = {}
-    for r in all_marginals(codes.encoded(df), list(domain.attrs), (1, 2)).collect():  # a row per cell of the domain's pairs
-        key = tuple(r["marginal"].split(","))
-        counts.setdefault(key, np.zeros(domain.project(key).shape))[tuple(int(r[a]) for a in key)] = r["n"]
-    for key in [(a,) for a in domain.attrs] + list(combinations(domain.attrs, 2)):
-        counts.setdefault(key, np.zeros(domain.project(key).shape))
+    counts = counted(codes.encoded(df), domain, (1, 2))
     pairs = list(combinations(domain.attrs, 2))
     rho = ledger.share("pair scores", 0.1)
     scores = {}
@@ -135,6 +139,67 @@ def fit_independent(df: DataFrame, kinds: dict[str, dict], privacy: PrivacySpec,
     return fit_marginals(df, kinds, privacy, RunConfig(config.seed, {**config.extra, "threshold": float("inf"), "rounds": 0}))
 
 
+@dataclass
+class GraphicalFit:
+    codes: Codes
+    model: graphical.Model
+    schema: Any
+    spark: Any
+    ledger: Ledger
+    log: list[dict]
+
+    def sample(self, n: int, seed: int = 0) -> DataFrame:
+        return enforce_schema(self.codes.decoded(self.model.sample(self.spark, n, seed), seed), self.schema)
+
+
+def fit_adaptive(df: DataFrame, kinds: dict[str, dict], privacy: PrivacySpec, config: RunConfig) -> GraphicalFit:
+    """Rounds that privately choose the marginal a graphical model fits worst, measure it and fit again.
+
+    Nine tenths of the budget go to measurements, one to choices. A round that taught less than its noise halves the
+    noise of those to come; the last takes what is left. The rows are counted once, for all marginals of the workload.
+    extra: degree (2), rounds (16 per attribute), cells (of the model, 2^18), steps (of a fit, 200)."""
+    codes, ledger, rng = Codes(kinds), privacy.ledger(), noise.generator(config.seed)
+    domain, rho = codes.domain, ledger.total
+    degree = min(int(config.extra.get("degree", 2)), len(domain))
+    rounds = int(config.extra.get("rounds", 16 * len(domain)))
+    most, steps = int(config.extra.get("cells", 1 << 18)), int(config.extra.get("steps", 200))
+    closure = select.downward_closure(select.workload(domain, degree))
+    weights = select.workload_weights(closure, [c for c in closure if len(c) == degree] or closure)
+    counts = counted(codes.encoded(df), domain, tuple(range(1, degree + 1)))
+    sigma, epsilon = np.sqrt(rounds / (1.8 * rho)), np.sqrt(0.8 * rho / rounds)
+    if rounds < len(domain) + 1:
+        raise ValueError("rounds must exceed the number of attributes")
+    measured = []
+
+    def measure(clique: tuple[str, ...]) -> None:
+        ledger.charge(f"measure {','.join(clique)}", 0.5 / sigma**2)
+        measured.append(graphical.Measurement(clique, counts[clique] + rng.normal(0, sigma, counts[clique].shape), sigma))
+
+    for a in domain.attrs:
+        measure((a,))
+    model, log, last = graphical.estimate(domain, measured, rounds=steps), [], False
+    while not last:
+        if ledger.left < 2 * (0.5 / sigma**2 + epsilon**2 / 8):
+            if ledger.left <= 1e-9 * rho:
+                break
+            left, last = ledger.left * (1 - 1e-9), True
+            sigma, epsilon = np.sqrt(1 / (1.8 * left)), np.sqrt(0.8 * left)
+        taken = [m.clique for m in measured]
+        room = most * (1 if last else max(ledger.spent / rho, 1 / rounds))
+        fits = {c: counts[c] for c in closure if domain.size(c) <= room and graphical.model_cells(domain, [*taken, c]) <= room} or {(a,): counts[(a,)] for a in domain.attrs}
+        ledger.charge("choice", epsilon**2 / 8)
+        chosen = select.worst_approximated(fits, lambda c: model.project(c).values, weights, epsilon, sigma, rng)  # noqa: B023
+        before = model.project(chosen).values
+        measure(chosen)
+        model = graphical.estimate(domain, measured, rounds=steps, warm=model)
+        moved = float(np.abs(model.project(chosen).values - before).sum())
+        log.append({"chosen": chosen, "sigma": float(sigma), "moved": moved, "spent": ledger.spent})
+        if moved <= sigma * np.sqrt(2 / np.pi) * before.size:
+            sigma, epsilon = sigma / 2, epsilon * 2
+    return GraphicalFit(codes, model, df.select(*kinds).schema, df.sparkSession, ledger, log)
+
+
+register("adaptive", fit_adaptive)
 register("marginals", fit_marginals)
 register("independent", fit_independent)
 
