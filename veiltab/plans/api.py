@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import noise
 from ..functions.domain import Domain
 from ..functions.privacy import Ledger, PrivacySpec, gaussian_sigma
-from ..operators import consistency, encode, graphical, select, synth
+from ..operators import consistency, encode, graphical, search, select, synth
 from ..operators.marginals import all_marginals
 from ..operators.overrides import enforce_schema
 
@@ -199,6 +199,34 @@ def fit_adaptive(df: DataFrame, kinds: dict[str, dict], privacy: PrivacySpec, co
     return GraphicalFit(codes, model, df.select(*kinds).schema, df.sparkSession, ledger, log)
 
 
+@dataclass
+class TableFit:
+    codes: Codes
+    table: np.ndarray
+    schema: Any
+    spark: Any
+    ledger: Ledger
+
+    def sample(self, n: int, seed: int = 0) -> DataFrame:
+        return enforce_schema(self.codes.decoded(search.drawn(self.spark, self.codes.domain, self.table, n, seed), seed), self.schema)
+
+
+def _fit_search(find: Callable[..., np.ndarray]) -> Callable[..., TableFit]:
+    """Single attributes and pairs share the budget evenly; the search sees nothing but these noisy counts."""
+
+    def fit(df: DataFrame, kinds: dict[str, dict], privacy: PrivacySpec, config: RunConfig) -> TableFit:
+        codes, ledger, rng = Codes(kinds), privacy.ledger(), noise.generator(config.seed)
+        counts = counted(codes.encoded(df), codes.domain, (1, 2))
+        sigma = gaussian_sigma(1, ledger.share("marginals", 1.0) / len(counts))
+        noisy = {c: v + rng.normal(0, sigma, v.shape) for c, v in counts.items()}
+        margins = consistency.consistent(codes.domain, noisy, rounds=20)
+        return TableFit(codes, find(codes.domain, margins, seed=config.seed or 0, **config.extra), df.select(*kinds).schema, df.sparkSession, ledger)
+
+    return fit
+
+
+register("genetic", _fit_search(search.genetic))
+register("relaxed", _fit_search(search.relaxed))
 register("adaptive", fit_adaptive)
 register("marginals", fit_marginals)
 register("independent", fit_independent)

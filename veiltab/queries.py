@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import noise
-from .operators import encode, evaluate, infer, marginals, overrides, statqueries
+from .operators import encode, evaluate, hierarchy, infer, marginals, overrides, statqueries
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -197,6 +197,18 @@ add("mmd_linear", f"SELECT round((x.a - y.a) ** 2 + (x.b - y.b) ** 2, 8) AS mmd2
     lambda df: rounded(statqueries.mmd_linear(*_halves(df), ["l_quantity", "l_discount"]), "mmd2", places=8))
 add("support", "SELECT o_orderstatus, o_orderpriority, n, round(n / sum(n) OVER (), 6) AS weight FROM (SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY 1, 2)", "orders")(lambda df: rounded(statqueries.support(df, ["o_orderstatus", "o_orderpriority"]), "weight"))
 
+# Hierarchies.
+
+_LEVELS = """
+WITH c AS (SELECT l_quantity AS value, count(*) AS n FROM lineitem WHERE l_quantity IS NOT NULL GROUP BY 1),
+a AS (SELECT value, n, CAST((2 * sum(n) OVER (ORDER BY value) - n) * 2 // (2 * sum(n) OVER ()) AS BIGINT) AS g1 FROM c),
+h AS (SELECT value, n, g1, g1 * 2 + CAST((2 * sum(n) OVER (PARTITION BY g1 ORDER BY value) - n) * 2 // (2 * sum(n) OVER (PARTITION BY g1)) AS BIGINT) AS g2 FROM a)
+"""
+add("hierarchy", _LEVELS + "SELECT value, n, g1, g2 FROM h", "lineitem")(
+    lambda df: hierarchy.hierarchy(df, "l_quantity", 2, 2).select("value", "n", hierarchy.group_at(F.col("path"), 2, 1).alias("g1"), hierarchy.group_at(F.col("path"), 2, 2).alias("g2")))
+add("rolled_up", _LEVELS + "SELECT l_returnflag, g2 AS quantity_group, count(*) AS n FROM lineitem l JOIN h ON l.l_quantity = h.value GROUP BY 1, 2", "lineitem")(
+    lambda df: hierarchy.rolled_up(df.select("l_returnflag", "l_quantity"), "l_quantity", hierarchy.hierarchy(df, "l_quantity", 2, 2), 2, out="quantity_group").groupBy("l_returnflag", "quantity_group").agg(F.count("*").alias("n")))
+
 # Evaluation: even order keys against odd ones.
 
 
