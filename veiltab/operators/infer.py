@@ -1,8 +1,9 @@
-"""Column metadata of a table, in one aggregation over all columns."""
+"""Column metadata of a table, from one aggregation per column in one job."""
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -41,10 +42,15 @@ def decide(dtype: T.DataType, distinct: int, rows: int) -> tuple[str, str]:
 
 
 def counted(df: DataFrame) -> DataFrame:
-    """Rows (name, size: distinct values, nulls, rows): one pass for all columns."""
-    sums = [x for k, c in enumerate(df.columns) for x in (F.count_distinct(F.col(f"`{c}`")).alias(f"d{k}"), F.sum(F.col(f"`{c}`").isNull().cast("long")).alias(f"z{k}"))]
-    one = df.agg(F.count(F.lit(1)).alias("rows"), *sums)
-    return one.select("rows", F.inline(F.array(*(F.struct(F.lit(c).alias("name"), F.col(f"d{k}").alias("size"), F.coalesce(f"z{k}", F.lit(0)).alias("nulls")) for k, c in enumerate(df.columns)))))
+    """Rows (name, size: distinct values, nulls, rows). Each column is counted by value on its own: the scan reads that
+    column alone, and partial counts are what is shuffled, where distinct counts side by side would copy every row once
+    per column. A table that is costly to make should be written first, as its plan runs once per column."""
+    parts = []
+    for c in df.columns:
+        values = df.groupBy(F.col(f"`{c}`").alias("value")).agg(F.count(F.lit(1)).alias("n"))
+        nulls = F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("n"))), F.lit(0)).alias("nulls")
+        parts.append(values.agg(F.count("value").alias("size"), nulls, F.coalesce(F.sum("n"), F.lit(0)).alias("rows")).select(F.lit(c).alias("name"), "size", "nulls", "rows"))
+    return reduce(DataFrame.unionAll, parts)
 
 
 def infer(df: DataFrame) -> list[ColumnInfo]:
