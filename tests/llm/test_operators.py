@@ -175,6 +175,22 @@ def test_ctw_recursion():
     assert (10 ** model.log10(every)).sum() == pytest.approx(1, abs=1e-4)  # a distribution over the next byte
 
 
+def test_ctw_keeps_rare_pairs(spark, monkeypatch):
+    """Above 2^23 training bytes, where pairs seen once used to go; the parts of the tree against the whole one."""
+    monkeypatch.setattr(ctw, "CHUNK", 50, raising=False)
+    rng = random.Random(6)
+    texts = ["abcdefgh " * 1_000_000] + [text_of(rng, 30) for _ in range(40)] + ["naïve été, Straße", "", "zq" * 30]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    keys = [ctw.keys_of([lowered(t).encode()])[0] for t in texts]
+    known = np.concatenate([k for i, k in enumerate(keys) if i % 5 != 3])
+    assert len(known) >> ctw.SHARE_BITS > 1
+    model = ctw.Model([np.unique(known & np.uint64(ctw.mask(d)), return_counts=True) for d in range(ctw.DEPTH + 1)])
+    got = {r.id: r.score for r in ctw.scores(df, ctw.F.col("doc_id") % 5 != 3).collect()}
+    for i, k in enumerate(keys):
+        distinct, n = np.unique(k, return_counts=True)
+        assert got[i] == pytest.approx((model.log10(distinct) * n).sum(), rel=1e-6)
+
+
 def test_packing(spark, docs, rows):
     tokenizers = pytest.importorskip("tokenizers")
     import public_tokenizers

@@ -8,9 +8,12 @@ its own KT block probability and half the product of its children's; the posteri
 depths 0..depth on the way to the deepest context seen. The mixture is a distribution over whole texts: score is
 log10 of a text's probability and -score * log2(10) / bytes its code length per byte.
 
-Counts come from every byte of every training row. What executors are sent is bounded whatever the corpus: of each
-depth only the (context, byte) pairs and of the words only those with a share of at least 2^-22 of the total, so at
-most 2^22 each; commoner words than that are looked up, the rest are joined.
+Counts come from every byte of every training row and all of them stay. The tree grows with the corpus and is never in
+one place: it lies as a written table of pairs, is dealt out by contexts of depth TOP + 1 and built part by part; only
+depths 0..TOP, bounded by the bytes there are, are one model that all parts share. What executors are sent is bounded
+whatever the corpus: that model, and as a cache the results of the (context, byte) pairs and words with a share of at
+least 2^-22 of the total, at most 2^22 each. The results of all other pairs and words are joined by shuffle, so the
+cache decides on no score.
 
 Edge cases. A null text is the empty text: one end token, the probability of ending at once. Long texts are scored
 whole. Repeated rows each give a row. With no training rows every decision is even. An empty table gives no rows.
@@ -24,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,6 +36,8 @@ from . import common, words
 DEPTH = 5
 #: Least share of the corpus, as a power of two, of what is sent to executors.
 SHARE_BITS = 22
+#: Depths 0..TOP of the tree are one model; what is deeper is worked on in parts of about CHUNK pairs.
+TOP, CHUNK = 2, 100_000
 END = 0xFF
 FOLDS, PARTS = 7, 2
 
@@ -131,41 +137,49 @@ def _lgamma_one(n: np.ndarray) -> np.ndarray:
 
 
 class Model:
-    """For each depth the sorted node keys and the mixed probability of a one there. A node's key is its context's bits
-    (key >> 8) above 8 bits for the bits decided so far, with a leading one."""
+    """For each depth from first on the sorted node keys and the mixed probability of a one there. A node's key is its
+    context's bits (key >> 8) above 8 bits for the bits decided so far, with a leading one.
 
-    def __init__(self, pairs: list[tuple[np.ndarray, np.ndarray]]):
-        """pairs: for each depth (keys, counts), the keys sorted as unsigned numbers and distinct."""
+    A whole tree has first 0. A part of a tree holds, from depth first on, all nodes below some contexts of that depth;
+    above is the model that ends one depth before. up is what a part says to the nodes above it, below what parts say."""
+
+    def __init__(self, pairs: list[tuple[np.ndarray, np.ndarray]], first: int = 0, above: Model | None = None, below: tuple[np.ndarray, np.ndarray] | None = None):
+        """pairs: for each depth (keys, counts), the keys sorted as unsigned numbers and distinct. below: (distinct nodes
+        of the last depth, summed evidence of their children). A part without above has evidence only."""
+        self.first, self.above = first, above
         levels = [self._nodes(k, n) for k, n in pairs]
         self.nodes: list[np.ndarray] = [x[0] for x in levels]
-        evidence = None
         kept = []
         for d in range(len(levels) - 1, -1, -1):
             keys, zero, one = levels[d]
             block = _lgamma_half(zero) + _lgamma_half(one) - math.log(math.pi) - _lgamma_one(zero + one)
-            below = np.zeros(len(keys))
+            under = np.zeros(len(keys))
             inner = np.zeros(len(keys), bool)
-            if evidence is not None:
-                parent = self._parent(levels[d + 1][0], d)
-                at = np.searchsorted(keys, parent)
-                at = np.minimum(at, max(len(keys) - 1, 0))
-                ok = keys[at] == parent if len(keys) else np.zeros(len(parent), bool)
-                np.add.at(below, at[ok], evidence[ok])
+            if below is not None and len(keys):
+                at = np.minimum(np.searchsorted(keys, below[0]), len(keys) - 1)
+                ok = keys[at] == below[0]
+                under[at[ok]] = below[1][ok]
                 inner[at[ok]] = True
-            stop = np.where(inner, 1 / (1 + np.exp(np.clip(below - block, -700, 700))), 1.0)
-            evidence = np.where(inner, np.logaddexp(block, below) - math.log(2), block)
+            stop = np.where(inner, 1 / (1 + np.exp(np.clip(under - block, -700, 700))), 1.0)
+            evidence = np.where(inner, np.logaddexp(block, under) - math.log(2), block)
             kept.append((stop, (one + 0.5) / (zero + one + 1.0)))
+            if first + d:
+                parents, back = np.unique(self._parent(keys, first + d - 1), return_inverse=True)
+                below = parents, np.bincount(back, evidence, len(parents))
+        self.up = below
         self.ones: list[np.ndarray] = []
-        left = mixed = None
+        if first and above is None:
+            return
+        nodes, left, mixed = above.state if above is not None else (np.zeros(0, np.uint64), np.zeros(0), np.zeros(0))
         for d, (stop, ratio) in enumerate(reversed(kept)):
-            if d:
-                at = np.searchsorted(self.nodes[d - 1], self._parent(self.nodes[d], d - 1))
-                at = np.minimum(at, max(len(self.nodes[d - 1]) - 1, 0))
-                left_here, mixed_here = (left[at], mixed[at]) if len(self.nodes[d - 1]) else (np.ones(len(ratio)), np.zeros(len(ratio)))
+            if first + d and len(nodes):
+                at = np.minimum(np.searchsorted(nodes, self._parent(self.nodes[d], first + d - 1)), len(nodes) - 1)
+                left_here, mixed_here = left[at], mixed[at]
             else:
                 left_here, mixed_here = np.ones(len(ratio)), np.zeros(len(ratio))
             self.ones.append((mixed_here + left_here * ratio).astype(np.float32))
-            left, mixed = left_here * (1 - stop), mixed_here + left_here * stop * ratio
+            nodes, left, mixed = self.nodes[d], left_here * (1 - stop), mixed_here + left_here * stop * ratio
+        self.state = nodes, left, mixed
 
     @staticmethod
     def _parent(nodes: np.ndarray, depth: int) -> np.ndarray:
@@ -191,21 +205,27 @@ class Model:
         order = np.argsort(keys)
         return keys[order], zero[order], one[order]
 
+    def _one(self, node: np.ndarray) -> np.ndarray:
+        """The mixed probability of a one at the deepest node seen on each node's path."""
+        p, todo = np.full(len(node), 0.5), np.arange(len(node))
+        for d in range(len(self.nodes) - 1, -1, -1):
+            if not len(self.nodes[d]) or not len(todo):
+                continue
+            want = node[todo] & np.uint64(mask(self.first + d))
+            at = np.minimum(np.searchsorted(self.nodes[d], want), len(self.nodes[d]) - 1)
+            ok = self.nodes[d][at] == want
+            p[todo[ok]] = self.ones[d][at[ok]]
+            todo = todo[~ok]
+        if self.above is not None and len(todo):
+            p[todo] = self.above._one(node[todo])
+        return p
+
     def log10(self, keys: np.ndarray) -> np.ndarray:
         """The log10 probability of each key's byte in its context."""
         out = np.zeros(len(keys))
         context, byte = keys >> np.uint64(8), keys & np.uint64(255)
         for bit in range(8):
-            node = (context << np.uint64(8)) | (np.uint64(1 << bit) | (byte >> np.uint64(8 - bit)))
-            p, todo = np.full(len(keys), 0.5), np.arange(len(keys))
-            for d in range(len(self.nodes) - 1, -1, -1):
-                if not len(self.nodes[d]) or not len(todo):
-                    continue
-                want = node[todo] & np.uint64(mask(d))
-                at = np.minimum(np.searchsorted(self.nodes[d], want), len(self.nodes[d]) - 1)
-                ok = self.nodes[d][at] == want
-                p[todo[ok]] = self.ones[d][at[ok]]
-                todo = todo[~ok]
+            p = self._one((context << np.uint64(8)) | (np.uint64(1 << bit) | (byte >> np.uint64(8 - bit))))
             out += np.log10(np.where((byte >> np.uint64(7 - bit)) & np.uint64(1), p, 1 - p))
         return out
 
@@ -217,15 +237,73 @@ def arrays_of(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return keys[order], n[order]
 
 
-def train(found: DataFrame, depth: int = DEPTH, share_bits: int = SHARE_BITS) -> tuple[Model, int]:
-    """The model of a written table of counts(), and the number of symbols behind it."""
-    grams = found.where("kind = 0")
-    total = grams.agg(F.sum("n")).first()[0] or 0
-    floor, pairs = max(1, total >> share_bits), []
-    for d in range(depth + 1):
-        some = grams if d == depth else grams.groupBy(F.col("key").bitwiseAND(F.lit(mask(d))).alias("key")).agg(F.sum("n").alias("n"))
-        pairs.append(arrays_of(some.where(F.col("n") >= floor).select("key", "n")))
-    return Model(pairs), total
+def _levels(keys: np.ndarray, n: np.ndarray, depths: range) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The (keys, counts) of each depth from those of the deepest or a deeper one."""
+    out = []
+    for d in reversed(depths):
+        keys, back = np.unique(keys & np.uint64(mask(d)), return_inverse=True)
+        n = np.bincount(back, n, len(keys))
+        out.append((keys, n))
+    return out[::-1]
+
+
+def _parts(rows: Iterator[pa.RecordBatch], first: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Batches (key, n, asked) sorted by their context of depth first, as larger ones that hold contexts whole."""
+    have, size = [], 0
+    for row in rows:
+        some = [row.column(0).to_numpy().view(np.uint64), row.column(1).to_numpy(), row.column(2).to_numpy(zero_copy_only=False)]
+        have.append(some)
+        size += len(some[0])
+        if size < CHUNK:
+            continue
+        key, n, asked = (np.concatenate(x) for x in zip(*have, strict=True))
+        context = (key & np.uint64(mask(first))) >> np.uint64(8)
+        cut = int(np.flatnonzero(context != context[-1])[-1]) + 1 if (context != context[-1]).any() else 0
+        if cut:
+            yield key[:cut], n[:cut], asked[:cut]
+        have = [[key[cut:], n[cut:], asked[cut:]]]
+        size = len(key) - cut
+    if size:
+        yield tuple(np.concatenate(x) for x in zip(*have, strict=True))
+
+
+def _together(rows: DataFrame, depth: int) -> DataFrame:
+    """rows (key, n, asked) with all of a context of the first depth below the top in one partition and in a row."""
+    context = F.col("key").bitwiseAND(F.lit(mask(min(TOP + 1, depth)) & ~255))
+    return rows.select("key", "n", "asked", context.alias("context")).repartition("context").sortWithinPartitions("context").select("key", "n", "asked")
+
+
+def train(found: DataFrame, depth: int = DEPTH) -> tuple[Model, int]:
+    """The model of depths 0..TOP, with the evidence of all that is deeper, of a written table of counts(), and the
+    number of symbols behind it. Its size is bounded by the bytes there are, whatever the corpus."""
+    grams, last = found.where("kind = 0"), min(TOP, depth)
+    keys, n = arrays_of(grams.groupBy(F.col("key").bitwiseAND(F.lit(mask(last))).alias("key")).agg(F.sum("n").alias("n")))
+    below = None
+    if depth > last:
+
+        def of(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for key, n, _ in _parts(rows, last + 1):
+                nodes, evidence = Model(_levels(key, n, range(last + 1, depth + 1)), last + 1).up
+                yield pa.RecordBatch.from_arrays([pa.array(nodes.view(np.int64)), pa.array(evidence)], ["key", "n"])
+
+        said = _together(grams.select("key", "n", F.lit(False).alias("asked")), depth).mapInArrow(of, "key long, n double")
+        below = arrays_of(said.groupBy("key").agg(F.sum("n").alias("n")))
+    return Model(_levels(keys, n, range(last + 1)), below=below), int(n.sum())
+
+
+def evaluated(rows: DataFrame, top: Broadcast, depth: int = DEPTH) -> DataFrame:
+    """Rows (key, log10) for the distinct keys asked for in rows (key, n: its count in training or 0, asked). rows hold
+    every key of the training table; the part of the tree below the top is built context by context."""
+
+    def of(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = min(TOP, depth) + 1
+        for key, n, asked in _parts(rows, min(first, depth)):
+            if asked.any():
+                part = Model(_levels(key[n > 0], n[n > 0], range(first, depth + 1)), first, top.value)
+                want = np.unique(key[asked])
+                yield pa.RecordBatch.from_arrays([pa.array(want.view(np.int64)), pa.array(part.log10(want))], ["key", "log10"])
+
+    return _together(rows, depth).mapInArrow(of, "key long, log10 double")
 
 
 def scores(docs: DataFrame, training: Column, key: str = "doc_id", text: str = "text", depth: int = DEPTH) -> DataFrame:
@@ -236,34 +314,32 @@ def scores(docs: DataFrame, training: Column, key: str = "doc_id", text: str = "
     spark = docs.sparkSession
     held = ~F.coalesce(training, F.lit(False))
     found = common.written(counts(docs.where(~held).select(F.coalesce(F.col(text), F.lit("")).alias("text")), depth), "counts")
-    model, _ = train(found, depth)
+    model, total = train(found, depth)
+    top, least = spark.sparkContext.broadcast(model), max(1, total >> SHARE_BITS)
+    grams = found.where("kind = 0")
+    common_keys, common_logs = arrays_of(evaluated(grams.select("key", "n", (F.col("n") >= least).alias("asked")), top, depth).withColumnRenamed("log10", "n"))
     vocabulary = found.where("kind = 1")
     n_words, v_words = vocabulary.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     ends = found.where("kind = 2").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     n, v = n_words + ends, v_words + bool(ends)
     floor = max(1, n_words >> SHARE_BITS)
     often_keys, often_n = arrays_of(vocabulary.where(F.col("n") >= floor).select("key", "n"))
-    shared = spark.sparkContext.broadcast((model, often_keys, np.log10((often_n + 1) / (n + v + 1))))
+    shared = spark.sparkContext.broadcast((common_keys, common_logs, often_keys, np.log10((often_n + 1) / (n + v + 1))))
     unseen, end_cost = -math.log10(n + v + 1), math.log10((ends + 1) / (n + v + 1))
 
     def of(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, often, cost = shared.value
-        seen_keys, seen_logs = np.zeros(0, np.uint64), np.zeros(0)
+        seen_keys, seen_logs, often, cost = shared.value
         for part in parts:
             rows = list(zip(part.column(0).to_pylist(), part.column(2).to_pylist(), strict=True))
             for ids, texts in words.batches(rows, part.column(1).to_pylist()):
                 keys, bounds = keys_of(texts, depth)
                 distinct, back = np.unique(keys, return_inverse=True)
                 at = np.minimum(np.searchsorted(seen_keys, distinct), max(len(seen_keys) - 1, 0))
-                new = distinct[seen_keys[at] != distinct] if len(seen_keys) else distinct
-                if len(new):
-                    if len(seen_keys) > 1_000_000:
-                        seen_keys, seen_logs, new = np.zeros(0, np.uint64), np.zeros(0), distinct
-                    seen_keys, seen_logs = np.concatenate((seen_keys, new)), np.concatenate((seen_logs, model.log10(new)))
-                    order = np.argsort(seen_keys)
-                    seen_keys, seen_logs = seen_keys[order], seen_logs[order]
-                logs = seen_logs[np.searchsorted(seen_keys, distinct)]
+                seen = seen_keys[at] == distinct if len(seen_keys) else np.zeros(len(distinct), bool)
+                logs = np.where(seen, seen_logs[at], 0.0) if len(seen_keys) else np.zeros(len(distinct))
                 score = np.add.reduceat(logs[back], bounds[:-1])
+                other = np.flatnonzero(~seen[back])
+                other_bounds = np.searchsorted(other, bounds)
                 hashes, word_bounds = words.word_hashes(texts)
                 n_words = np.diff(word_bounds)
                 owner = np.repeat(np.arange(len(texts)), n_words)
@@ -279,9 +355,10 @@ def scores(docs: DataFrame, training: Column, key: str = "doc_id", text: str = "
                 yield pa.RecordBatch.from_arrays([
                     pa.array([i for i, _ in ids], pa.int64()), pa.array([h for _, h in ids], pa.bool_()), pa.array(n_words + 1, pa.int64()), pa.array(n_known, pa.int64()), pa.array(base, pa.float64()),
                     pa.array(score, pa.float64()), pa.array(np.diff(bounds) - 1, pa.int64()), pa.ListArray.from_arrays(pa.array(rare_bounds, pa.int32()), pa.array(rare.view(np.int64))),
-                ], ["id", "held_out", "n_tokens", "n_known", "base", "score", "n_bytes", "rare"])
+                    pa.ListArray.from_arrays(pa.array(other_bounds, pa.int32()), pa.array(keys[other].view(np.int64))),
+                ], ["id", "held_out", "n_tokens", "n_known", "base", "score", "n_bytes", "rare", "keys"])
 
-    schema = "id long, held_out boolean, n_tokens long, n_known long, base double, score double, n_bytes long, rare array<long>"
+    schema = "id long, held_out boolean, n_tokens long, n_known long, base double, score double, n_bytes long, rare array<long>, keys array<long>"
     every = docs.select(F.col(key).cast("long"), F.coalesce(F.col(text), F.lit("")), held).mapInArrow(of, schema)
     # A number of our own for each row: ids may repeat.
     every = common.written(every.withColumn("row", F.monotonically_increasing_id()), "scored")
@@ -290,7 +367,12 @@ def scores(docs: DataFrame, training: Column, key: str = "doc_id", text: str = "
         every.select("row", F.explode("rare").alias("key")).join(rare_words, "key", "left")
         .groupBy("row").agg(F.count("cost").alias("more"), F.sum(F.coalesce("cost", F.lit(unseen))).alias("rest"))
     )
-    return every.drop("rare").join(rare, "row", "left").select(
+    asked = every.select("row", F.explode("keys").alias("key"))
+    rows = grams.select("key", "n", F.lit(False).alias("asked")).unionAll(asked.select("key").distinct().select("key", F.lit(0).cast("long"), F.lit(True)))
+    logs = common.written(evaluated(rows, top, depth), "logs")
+    deep = asked.join(logs, "key").groupBy("row").agg(F.sum("log10").alias("deep"))
+    both = every.drop("rare", "keys").join(rare, "row", "left").join(deep, "row", "left").withColumn("score", F.col("score") + F.coalesce("deep", F.lit(0.0)))
+    return both.select(
         "id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("more", F.lit(0))).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
         (F.col("base") + F.coalesce("rest", F.lit(0.0))).alias("base_score"), "score", "n_bytes",
         (-F.col("score") * math.log2(10) / F.greatest("n_bytes", F.lit(1))).alias("bits_per_byte"))
