@@ -4,6 +4,7 @@ empty tables and extra columns of clashing names."""
 import base64
 import collections
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -378,6 +379,23 @@ def test_decontamination(spark):
     assert not any(r.contaminated for r in decontaminate.judged(left, right.limit(0)).collect())
 
 
+def test_every_passing_window_is_seeded(spark):
+    """All substitutions that the rule allows, in otherwise whole copies of items of 9 to 13 words and of 14."""
+    items, docs = [], []
+    for n in range(9, 15):
+        w = [f"i{n}w{k}" for k in range(n)]
+        items.append((n, " ".join(w)))
+        for changes in range(4):
+            for at in itertools.combinations(range(n), changes):
+                docs.append((len(docs), " ".join("other" if k in at else x for k, x in enumerate(w))))
+        docs += [(len(docs) + a, " ".join(w[a:b])) for a, b in ((0, n - 1), (1, n), (0, n - 2), (1, n - 1), (2, n))]
+        docs = [(i, t) for i, (_, t) in enumerate(docs)]
+    left, right = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.id, r.item_id) for r in decontaminate.overlaps(left, right).collect()}
+    want = {(i, n) for i, t in docs for n, u in items if f"i{n}w" in t and brute_overlaps([(i, t)], [(n, u)])}
+    assert got == want and len(want) > 400
+
+
 def test_words():
     texts = [lowered(t).encode() for t in ["A b", "", "  x\ty\n", "é"]]
     hashes, bounds = words.word_hashes(texts)

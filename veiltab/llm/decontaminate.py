@@ -1,10 +1,10 @@
 """Benchmark decontamination by spaced-seed hashing, in DataFrame functions only.
 
-A seed is a fixed mask over SPAN tokens; the tokens it ignores may differ, so one or two substitutions inside a span
-leave some seed whole. Every position of every document and of every benchmark item gives one hash per mask; hashes
+A seed is a fixed mask over some tokens; the tokens it ignores may differ. The masks are lossless: wherever the tokens
+that may differ in a window stand, some seed in it is whole. Every position of every document and of every benchmark item gives one hash per mask; hashes
 that both have are hits, and each names an item and a diagonal (place in the document less place in the item). On a
 diagonal, document and item are compared token by token in windows of WINDOW tokens (or the item's length if it is
-shorter): a document is contaminated if at least PERCENT of some window's tokens agree. Items shorter than a span
+shorter): a document is contaminated if at least PERCENT of some window's tokens agree. Items shorter than SPAN
 are seeds as a whole, and must agree whole.
 
 The seed table follows the benchmark. It is broadcast when its measured size allows; otherwise the hashes are joined
@@ -23,10 +23,11 @@ from pyspark.sql import functions as F
 from . import common
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: Two masks of weight 6 over 9 tokens. Any WINDOW that may pass holds a whole seed or is searched from a neighbour's.
-MASKS = ("110101011", "111001110")
-SPAN = len(MASKS[0])
-WINDOW, PERCENT = 13, 80
+SPAN, WINDOW, PERCENT = 9, 13, 80
+#: For items of WINDOW tokens or more: any 13 tokens of which any 2 differ hold a whole seed of one of them.
+MASKS = ("11101011", "110100111")
+#: For items from SPAN to WINDOW - 1: so do any 10 tokens of which any 2 differ, and any 9 of which any one does.
+LIGHT = ("111011", "1101011", "1110011")
 
 
 def tokens(text: Column) -> Column:
@@ -38,10 +39,10 @@ def seeds(rows: DataFrame, masks: tuple[str, ...]) -> DataFrame:
     """rows (id, tokens) to (id, at, seed): a seed of each mask at each position where the mask fits."""
     placed = rows.select("id", "tokens", F.explode(F.sequence(F.lit(0), F.size("tokens") - 1)).alias("at")).where(F.col("at") + min(map(len, masks)) <= F.size("tokens"))
 
-    def seed(k: int, mask: str) -> Column:
-        return F.when(F.col("at") + len(mask) <= F.size("tokens"), F.xxhash64(F.lit(k if mask in MASKS else len(mask) + 1000), *(F.get("tokens", F.col("at") + o) for o, bit in enumerate(mask) if bit == "1")))
+    def seed(mask: str) -> Column:
+        return F.when(F.col("at") + len(mask) <= F.size("tokens"), F.xxhash64(F.lit(int(mask, 2)), *(F.get("tokens", F.col("at") + o) for o, bit in enumerate(mask) if bit == "1")))
 
-    return placed.select("id", "at", F.explode(F.array(*(seed(k, m) for k, m in enumerate(masks)))).alias("seed")).where("seed is not null")
+    return placed.select("id", "at", F.explode(F.array(*(seed(m) for m in masks))).alias("seed")).where("seed is not null")
 
 
 def overlaps(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -49,9 +50,12 @@ def overlaps(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str =
     bench = items.select(F.col(item_key).cast("long").alias("item_id"), tokens(F.col(item_text)).alias("item")).where(F.size("item") > 0)
     bench = common.written(bench.withColumn("n", F.size("item")), "items")
     short = [r.n for r in bench.where(F.col("n") < SPAN).select("n").distinct().orderBy("n").collect()]  # SPAN - 1 lengths at most
-    masks = (*MASKS, *("1" * n for n in short))
+    light = LIGHT if bench.where(F.col("n").between(SPAN, WINDOW - 1)).take(1) else ()
+    masks = (*MASKS, *light, *("1" * n for n in short))
     named = bench.select(F.col("item_id").alias("id"), F.col("item").alias("tokens"))
-    whole = seeds(named.where(F.size("tokens") >= SPAN), MASKS)
+    whole = seeds(named.where(F.size("tokens") >= WINDOW), MASKS)
+    if light:
+        whole = whole.unionAll(seeds(named.where(F.size("tokens").between(SPAN, WINDOW - 1)), light))
     for n in short:
         whole = whole.unionAll(seeds(named.where(F.size("tokens") == n), ("1" * n,)))
     table = common.written(whole.select("seed", F.col("id").alias("item_id"), F.col("at").alias("item_at")).distinct(), "seeds")
