@@ -233,6 +233,18 @@ def test_warc_round_trip(spark, tmp_path):
     assert warc.read(spark, f"file://{tmp_path}/none").count() == 0
 
 
+def test_warc_long_headers(spark, tmp_path, monkeypatch):
+    url = "data:text/plain," + "x" * 100_000
+    warc.write(spark.createDataFrame([(1, "u", "a"), (2, url, "b"), (3, "u", "c")], "page_id long, url string, html string"), f"file://{tmp_path}/w")
+    got = warc.read(spark, f"file://{tmp_path}/w").collect()
+    assert not any(r.gap for r in got) and sorted((bytes(r.payload), r.target_uri) for r in got) == [(b"a", "u"), (b"b", url), (b"c", "u")]
+    rec = warc.record(2, url, b"b", None, warc.digest(b"b"))
+    monkeypatch.setattr(warc, "_MEMBER", 1000)
+    for data in (rec + rec, warc.gzipped(rec) * 2):  # plain, and with a header over many members
+        assert [(f["warc-target-uri"], b) for _, _, f, b in warc.salvage(data)] == [(url, b"b")] * 2
+    assert [f for _, _, f, _ in warc.salvage(rec[:50_000])] == [None]
+
+
 @pytest.mark.parametrize("packed", [True, False])
 def test_salvage(packed):
     records = [warc.record(i, f"http://x/{i}", f"payload {i} ".encode() * 50, None, warc.digest(f"payload {i} ".encode() * 50)) for i in range(6)]

@@ -102,16 +102,15 @@ def _headers(data: bytes, at: int = 0) -> tuple[dict[str, str], int] | None:
     """(fields in lower case, start of the body) of a record at `at`."""
     if not _VERSION.match(data, at):
         return None
-    end = data.find(b"\r\n\r\n", at, at + (1 << 16))
-    if end < 0:
-        return None
-    fields = {}
-    for line in data[at:end].split(b"\r\n")[1:]:
-        name, colon, value = line.partition(b":")
+    fields: dict[str, str] = {}
+    start = data.find(b"\r\n", at) + 2
+    while (end := data.find(b"\r\n", start)) != start:  # of any length, but every line is a field
+        name, colon, value = data[start : max(end, start)].partition(b":")
         if not colon:
             return None
         fields[name.strip().lower().decode("latin-1")] = value.strip().decode("utf-8", "replace")
-    return (fields, end + 4) if fields.get("content-length", "").isdigit() and "warc-type" in fields else None
+        start = end + 2
+    return (fields, end + 2) if fields.get("content-length", "").isdigit() and "warc-type" in fields else None
 
 
 def _checked(fields: dict[str, str], body: bytes) -> bool:
@@ -122,11 +121,16 @@ def _checked(fields: dict[str, str], body: bytes) -> bool:
 
 def _at_gzip(data: bytes, at: int) -> tuple[dict[str, str], bytes, int] | None:
     got = _inflate(data, at)
-    if not got or not (head := _headers(got[0])):
+    if not got:
         return None
+    first, end = got
+    while not (head := _headers(first)):  # a header may go on in further members
+        if not _VERSION.match(first) or data[end : end + 3] != _MAGIC or not (got := _inflate(data, end)) or _VERSION.match(got[0]):
+            return None
+        first, end = first + got[0], got[1]
     fields, start = head
-    held, end, need = [got[0][start:]], got[1], start + int(fields["content-length"]) + 4
-    size = len(got[0])
+    held, need = [first[start:]], start + int(fields["content-length"]) + 4
+    size = len(first)
     while size < need:
         if data[end : end + 3] != _MAGIC or not (got := _inflate(data, end)) or _VERSION.match(got[0]):
             return None
