@@ -213,6 +213,15 @@ def test_packing(spark, docs, rows):
     assert packing.packed(empty(spark)).count() == 0
 
 
+def test_step_groups(spark, docs):
+    groups = collections.defaultdict(set)
+    for p in packing.packed(docs, step_tokens=4096).collect():
+        groups[p.step_group].add((p.window, p.sequence_id))
+    assert len({w for g in groups.values() for w, _ in g}) > 2
+    for g in groups.values():
+        assert len({w for w, _ in g}) == 1 and sum(w for w, _ in g) <= 4096
+
+
 def test_warc_round_trip(spark, tmp_path):
     rng = random.Random(5)
     pages = [(1, "http://a/1", "<p>one</p>", 1), (2, "http://a/2", "<p>one</p>", 1), (3, "u\r\nx", None, 1), (4, "u", "", 1), (5, None, "WARC/1.1\r\nWARC-Type: response\r\n\r\n", 1), (6, "u", "".join(chr(rng.randrange(32, 0x2FFF)) for _ in range(20_000)), 1)]

@@ -4,11 +4,12 @@ Documents are routed to window tiers (powers of two up to `window`): whole windo
 rest goes to the smallest tier that holds it. Each tier is packed first-fit; the gap that is left in a window is
 then filled from the tiers below it, the longest piece that fits first, and what is still open is closed by cutting
 the next shorter document. The few windows that stay open at the end of a partition are split into full windows of
-smaller tiers, so that no sequence is padded. Step groups of `step_tokens` tokens hold sequences of one tier, so
-that every group has equal work.
+smaller tiers, so that no sequence is padded. Step groups of `step_tokens` tokens hold sequences of one tier of a
+partition, so that every group but a tier's last one there has equal work.
 
 A partition is packed by itself: there is no shuffle, memory holds one block of rows, and a lost task is repeated
-with the same result. sequence_id is the partition's number times 2^40 plus the sequence's number there.
+with the same result. sequence_id is the partition's number times 2^40 plus the sequence's number there;
+step_group has the partition, the tier and the group's number there.
 
 Edge cases. A null or empty text is its end token alone. A document longer than a window spans several; each of its
 ids lies in exactly one piece. Repeated rows are packed again. An empty table gives no rows. Other columns are
@@ -112,7 +113,7 @@ class Packer:
 
 
 def packed(docs: DataFrame, key: str = "doc_id", text: str = "text", encode=tokenizer, window: int = WINDOW, step_tokens: int = STEP_TOKENS) -> DataFrame:
-    """A row for each piece, as in SCHEMA; window is the sequence's tier, step_group numbers the groups of equal work."""
+    """A row for each piece, as in SCHEMA; window is the sequence's tier, step_group names groups of one tier and at most step_tokens tokens."""
     if window & (window - 1) or window < SMALLEST:
         raise ValueError("window must be a power of two")
 
@@ -133,7 +134,7 @@ def packed(docs: DataFrame, key: str = "doc_id", text: str = "text", encode=toke
                 used[size] = group + 1
                 for row, start, length in pieces:
                     crc = zlib.crc32(tokens[row][start : start + length].tobytes())
-                    values = (ids[row], start, length, crc, len(tokens[row]), (part_id << 40) + number, place, size, ((part_id << 20) + group // max(1, step_tokens // size)))
+                    values = (ids[row], start, length, crc, len(tokens[row]), (part_id << 40) + number, place, size, ((((part_id << 6) + size.bit_length()) << 32) + group // max(1, step_tokens // size)))
                     for column, value in zip(columns, values, strict=True):
                         column.append(value)
                     place += length
