@@ -314,6 +314,17 @@ def test_toxicity(spark):
     assert {r.score for r in toxicity.scored(docs, None).collect()} == {0.0}
 
 
+def test_ordinary_windows_are_spread(monkeypatch):
+    """One long document does not use up the windows of the ordinary dictionary."""
+    rng, taken = random.Random(2), []
+    trained = toxicity.trained
+    monkeypatch.setattr(toxicity, "trained", lambda size, samples: taken.append(samples) or trained(size, samples))
+    texts = [text_of(rng, 400_000)] + [f"only{i} " * 2000 for i in range(20)] + ["grumblefool snarkwit"] * 2
+    toxicity.fit(texts, [False] * 21 + [True] * 2)
+    said = b" ".join(taken[0])
+    assert all(f"only{i} ".encode() in said for i in range(20)) and len(taken[0]) == toxicity.ORDINARY_WINDOWS
+
+
 @pytest.mark.parametrize("block", [8192, 20])
 def test_cover_trees(spark, monkeypatch, block):
     monkeypatch.setattr(covertree, "BLOCK", block)

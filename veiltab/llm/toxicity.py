@@ -9,7 +9,8 @@ numbers of windows that save, number of windows), fitted on the training rows, i
 Toxic documents are mostly ordinary words, so the toxic dictionary is trained on their telling words only: words
 that start with a string found in many toxic and few ordinary training documents, chosen greedily until each
 document has COVER of them. Labels are learnt from at most TRAIN_DOCS rows of each class, those with the least
-hash of id; only that fit is bounded, all documents and all their windows are scored.
+hash of id, and the ordinary dictionary from at most ORDINARY_WINDOWS of their windows, taken at even distances over
+all of them; only that fit is bounded, all documents and all their windows are scored.
 
 Edge cases. A null or empty text has one empty window and gets that window's score. Long texts are scored whole.
 Repeated rows each give a row; repeated labels of an id count once (the largest). With no toxic or no ordinary
@@ -35,6 +36,8 @@ from . import common
 
 WINDOW, DICTIONARY = 20, 8192
 TRAIN_DOCS = 2000
+#: Most windows of ordinary documents that their dictionary is trained on, spread over all that TRAIN_DOCS leaves.
+ORDINARY_WINDOWS = 20_000
 COVER, RATIO = 4, 8.0
 FOLDS, HELD = 5, 0
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -104,6 +107,17 @@ def trained(size: int, samples: list[bytes]) -> bytes:
         return b"".join(samples)[:size]
 
 
+def spread(good: list[list[str]], most: int | None = None) -> list[bytes]:
+    """All windows of ordinary documents, or if there are more than `most` (ORDINARY_WINDOWS), so many at even distances over all."""
+    most = ORDINARY_WINDOWS if most is None else most
+    total, before, out = sum(len(range(0, max(1, len(w)), WINDOW)) for w in good), 0, []
+    for w in good:  # the k-th of all is taken if a new share of 1 / most of them begins there
+        some = windows(w)
+        out += some if total <= most else [x for k, x in enumerate(some, before) if k * most // total != (k - 1) * most // total]
+        before += len(some)
+    return out
+
+
 @dataclass
 class Model:
     ordinary: bytes
@@ -149,10 +163,7 @@ def fit(texts: list[str | None], toxic: list[bool], share: float | None = None)
     starts = tuple(telling(bad, good))
     evidence = [[x for x in w if starts and f" {x} ".startswith(starts)] for w in bad]
     toxic_samples = [(" " + " ".join(e) + " ").encode() for e in evidence if e]
-    plain_samples: list[bytes] = []
-    for w in good:
-        if len(plain_samples) < 20_000:
-            plain_samples += windows(w)
+    plain_samples = spread(good)
     model = Model(trained(DICTIONARY, plain_samples), trained(DICTIONARY // 4, toxic_samples) if toxic_samples else b"", np.zeros(7), np.ones(7), np.zeros(8))
     x, y = model.features(texts), np.array(toxic, float)
     model.mean, model.scale = x.mean(axis=0), x.std(axis=0) + 1e-9
