@@ -1,60 +1,55 @@
-"""What the corpus operators share: written tables, size-checked broadcasts, connected components."""
+"""What the corpus operators share: size-checked broadcasts, bounded Arrow batches, connected components."""
 
 from __future__ import annotations
 
-import atexit
-import os
-import shutil
-import tempfile
-import uuid
+import ctypes
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Most bytes of a written table that may be sent to every executor.
-BROADCAST_BYTES = 32 << 20
+from veiltab.plans.tables import Scratch, bytes_of, forget, fresh_path, scratch, written
 
+__all__ = ["Scratch", "bytes_of", "components", "forget", "fresh_path", "lower_ascii", "mapped", "remainder", "scratch", "small", "written"]
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="veiltab-")
-        atexit.register(shutil.rmtree, found.removeprefix("file://"), True)
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+#: Most bytes that a table may take in an executor's memory to be sent to every executor.
+BROADCAST_BYTES = 64 << 20
+#: Rows of an Arrow batch to and from Python, and its bytes: JVM buffers and Python's copies grow with both.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": 1000, "spark.sql.execution.arrow.maxBytesPerBatch": 4 << 20}
 
 
-def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+def small(df: DataFrame, limit: int = BROADCAST_BYTES, row_bytes: int | None = None) -> DataFrame:
+    """df, a written table, with a broadcast hint if it fits `limit` bytes of memory; else a shuffled join takes it.
 
+    Its size in memory is counted as rows times row_bytes if that is given; else as four times that of its files (they
+    are compressed), but 48 bytes a row at least."""
+    rows = df.count()
+    size = rows * row_bytes if row_bytes else max(4 * bytes_of(df), 48 * rows)
+    return F.broadcast(df) if size <= limit else df.hint("shuffle_merge")
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Cuts the lineage: df as a Parquet table in the shared folder."""
-    spark, path = df.sparkSession, fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
 
+def freed() -> None:
+    """Gives back what a Python worker, which is used again, holds but does not need."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
 
-def forget(df: DataFrame) -> None:
-    """Removes the files of a table made by written() once nothing reads it any more."""
-    for uri in {os.path.dirname(x) for x in df.inputFiles()}:
-        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(uri)
-        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
+def mapped(df: DataFrame, of: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: object) -> DataFrame:
+    """df.mapInArrow with batches within BATCHES (settings of the session, lowered where they are higher)."""
+    conf = df.sparkSession.conf
+    for name, most in BATCHES.items():
+        now = conf.get(name)
+        if not (now.isdigit() and 0 < int(now) <= most):
+            conf.set(name, str(most))
 
-def bytes_of(df: DataFrame) -> int:
-    """Bytes of the files that df, a table made by written(), reads."""
-    spark, total = df.sparkSession, 0
-    for uri in {os.path.dirname(x) for x in df.inputFiles()}:
-        path = spark._jvm.org.apache.hadoop.fs.Path(uri)
-        total += path.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(path).getLength()
-    return total
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from of(parts)
+        freed()
 
-
-def small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """df with a broadcast hint if its files are within limit; else a shuffled join takes it."""
-    return F.broadcast(df) if bytes_of(df) <= limit else df.hint("shuffle_merge")
+    return df.mapInArrow(run, schema)
 
 
 def remainder(doc_id: Column | str, by: int) -> Column:
@@ -95,4 +90,17 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
         if now == last:
             break
     roots = edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-    return written(edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionAll(roots), "components")
+    out = written(edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionAll(roots), "components")
+    forget(edges)
+    return out
+
+
+#: DuckDB's connected components of links(a, b), as rows (node, component): the smallest id reachable.
+COMPONENTS_SQL = """
+reach(node, other) AS (
+  SELECT a, b FROM links UNION SELECT b, a FROM links UNION SELECT r.node, l.other
+  FROM reach r JOIN (SELECT a AS node, b AS other FROM links UNION SELECT b, a FROM links) l ON r.other = l.node),
+found AS (SELECT node, least(node, min(other)) AS component FROM reach GROUP BY node)
+"""
+#: The text of a row with A-Z lowered, a null as the empty one.
+LOWER_SQL = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"

@@ -192,7 +192,7 @@ def _links(classes: DataFrame, dim: int, threshold: float) -> DataFrame:
             far = np.sqrt(np.maximum(0, 2 - 2 * dots[np.arange(len(x)), cell]))
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), column, pa.array(cell.astype(np.int32)), pa.array(far)], ["rep", "copies", "vec", "cell", "far"])
 
-    dealt = common.written(classes.select("rep", "copies", "vec").mapInArrow(assign, "rep long, copies long, vec array<double>, cell int, far double"), "cells")
+    dealt = common.written(common.mapped(classes.select("rep", "copies", "vec"), assign, "rep long, copies long, vec array<double>, cell int, far double"), "cells")
     cells = {r.cell: (r.n, r.far) for r in dealt.groupBy("cell").agg(F.count("*").alias("n"), F.max("far").alias("far")).collect()}  # one row per centre, SAMPLE at most
     blocks = {c: math.ceil(k / BLOCK) for c, (k, _) in cells.items()}
     plan = []
@@ -276,3 +276,17 @@ def near_vectors(table: DataFrame, key: str = "vec_id", vector: str = "embedding
 
 def op6_covertree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet")).withColumnRenamed("id", "vec_id")
+
+
+#: All pairs of vectors.
+SQL = f"""
+WITH RECURSIVE rows AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings),
+fine AS (SELECT vec_id, v, sqrt(list_dot_product(v, v)) AS norm FROM rows
+         WHERE v IS NOT NULL AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND list_dot_product(v, v) > 0),
+links(a, b) AS (SELECT x.vec_id, y.vec_id FROM fine x JOIN fine y ON x.vec_id < y.vec_id AND len(x.v) = len(y.v)
+         WHERE list_dot_product(x.v, y.v) / (x.norm * y.norm) >= 0.95),
+{common.COMPONENTS_SQL},
+degree AS (SELECT node, count(*) AS n FROM (SELECT a AS node FROM links UNION ALL SELECT b FROM links) GROUP BY node)
+SELECT r.vec_id, coalesce(d.n, 0) AS n_links, coalesce(f.component, r.vec_id) AS component_id, coalesce(f.component, r.vec_id) = r.vec_id AS kept
+FROM rows r LEFT JOIN degree d ON r.vec_id = d.node LEFT JOIN found f ON r.vec_id = f.node
+"""
