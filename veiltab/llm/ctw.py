@@ -1,18 +1,18 @@
 """Language-model scores by context-tree weighting (CTW) over binary-decomposed bytes.
 
 A text is its UTF-8 bytes, A-Z lowered, and one end symbol (0xFF, which UTF-8 never holds); before its first byte
-stand end symbols. A context of depth d is the last d bytes: the last as it is, those before it as one of 32 classes
-(letters, digits, white space, punctuation, lead and continuation bytes, controls). In every context the next byte
-is eight binary decisions, each with Krichevsky-Trofimov counts. By the CTW recursion the evidence of a node is half
+stand end symbols. A context of depth d is the last d bytes as they are. In every context the next byte is eight
+binary decisions, each with Krichevsky-Trofimov counts. By the CTW recursion the evidence of a node is half
 its own KT block probability and half the product of its children's; the posterior weights mix the estimates of all
 depths 0..depth on the way to the deepest context seen. The mixture is a distribution over whole texts: score is
 log10 of a text's probability and -score * log2(10) / bytes its code length per byte.
 
 Counts come from every byte of every training row and all of them stay. The tree grows with the corpus and is never in
-one place: it lies as a written table of pairs, is dealt out by contexts of depth TOP + 1 and built part by part; only
-depths 0..TOP, bounded by the bytes there are, are one model that all parts share. What executors are sent is bounded
-whatever the corpus: that model, and as a cache the results of the (context, byte) pairs and words with a share of at
-least 2^-22 of the total, at most 2^22 each. The results of all other pairs and words are joined by shuffle, so the
+one place: it lies as a written table of pairs, is dealt out by contexts of the first depth below its top and built
+part by part; only the top is one model that all parts share. The top has depths 0..TOP if at most MOST_TOP (context,
+byte) pairs of depth TOP occur, which is counted first; else one depth less, at most 2^16 pairs. Where the tree is cut
+changes no result. Beside the top executors are sent, as a cache, the results of the pairs and words with a share of
+at least 2^-22 of the total, at most 2^22 each. The results of all other pairs and words are joined by shuffle, so the
 cache decides on no score.
 
 Edge cases. A null text is the empty text: one end token, the probability of ending at once. Long texts are scored
@@ -33,33 +33,18 @@ from pyspark.sql import functions as F
 
 from . import common, words
 
-DEPTH = 5
+DEPTH = 5  # at most 6: a node's key has 8 bits for each byte of the context and 8 for the decisions
 #: Least share of the corpus, as a power of two, of what is sent to executors.
 SHARE_BITS = 22
-#: Depths 0..TOP of the tree are one model; what is deeper is worked on in parts of about CHUNK pairs.
-TOP, CHUNK = 2, 100_000
+#: Depths 0..TOP of the tree are one model if depth TOP has MOST_TOP pairs at most; what is deeper is worked on in parts of about CHUNK pairs.
+TOP, MOST_TOP, CHUNK = 2, 1 << 19, 100_000
 END = 0xFF
 FOLDS, PARTS = 7, 2
 
 
-def _classes() -> np.ndarray:
-    out = np.full(256, 28, np.uint64)  # punctuation
-    for c in range(26):
-        out[97 + c] = out[65 + c] = c
-    out[48:58] = 26
-    out[[0x20, *range(0x09, 0x0E)]] = 27
-    out[0x80:0xC0] = 29
-    out[0xC0:0x100] = 30
-    out[[*range(0x09), *range(0x0E, 0x20), 0x7F, END]] = 31
-    return out
-
-
-_CLASS = _classes()
-
-
 def mask(depth: int) -> int:
-    """Of a key: the byte in the lowest 8 bits, then 8 bits of the last byte and 5 bits for each one before."""
-    return (1 << (8 + (8 + 5 * (depth - 1) if depth else 0))) - 1
+    """Of a key: the byte in the lowest 8 bits, then 8 bits for each of the bytes before it, the last one lowest."""
+    return (1 << (8 + 8 * depth)) - 1
 
 
 def keys_of(texts: list[bytes], depth: int = DEPTH) -> tuple[np.ndarray, np.ndarray]:
@@ -70,10 +55,8 @@ def keys_of(texts: list[bytes], depth: int = DEPTH) -> tuple[np.ndarray, np.ndar
     bounds = np.concatenate(([0], np.cumsum(sizes)))
     at = np.arange(bounds[-1]) + np.repeat(np.arange(1, len(texts) + 1) * depth, sizes)
     key = joined[at].astype(np.uint64)
-    if depth:
-        key |= joined[at - 1].astype(np.uint64) << np.uint64(8)
-    for d in range(2, depth + 1):
-        key |= _CLASS[joined[at - d]] << np.uint64(16 + 5 * (d - 2))
+    for d in range(1, depth + 1):
+        key |= joined[at - d].astype(np.uint64) << np.uint64(8 * d)
     return key, bounds
 
 
@@ -99,8 +82,7 @@ def counts(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
             have[kind] = []
 
         for part in parts:
-            texts = part.column(0).to_pylist()
-            for _, some in words.batches(texts, texts):
+            for _, some in words.batches(range(part.num_rows), (t.as_py() for t in part.column(0))):
                 total += len(some)
                 for kind, keys in ((0, keys_of(some, depth)[0]), (1, words.word_hashes(some)[0])):
                     k, n = np.unique(keys, return_counts=True)
@@ -116,24 +98,18 @@ def counts(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
         if total:
             yield pa.RecordBatch.from_arrays([pa.array([2], pa.int32()), pa.array([0], pa.int64()), pa.array([total], pa.int64())], ["kind", "key", "n"])
 
-    return docs.select("text").mapInArrow(of, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
+    return common.mapped(docs.select("text"), of, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
 
 
-_LGAMMA_SMALL = np.array([math.lgamma(i + 0.5) for i in range(64)])
+_HALF = np.array([math.lgamma(i + 0.5) for i in range(64)])
+_ONE = np.array([math.lgamma(i + 1.0) for i in range(64)])
 
 
-def _lgamma_half(n: np.ndarray) -> np.ndarray:
-    """ln gamma(n + 1/2) for whole n >= 0."""
-    x = np.maximum(n, 1) + 0.5
+def _lgamma(n: np.ndarray, more: float, few: np.ndarray) -> np.ndarray:
+    """ln gamma(n + more) for whole n >= 0: a table of the first, then Stirling's series."""
+    x = np.maximum(n, len(few)) + more
     big = (x - 0.5) * np.log(x) - x + 0.5 * math.log(2 * math.pi) + 1 / (12 * x) - 1 / (360 * x**3) + 1 / (1260 * x**5)
-    return np.where(n < 64, _LGAMMA_SMALL[np.minimum(n, 63).astype(np.int64)], big)
-
-
-def _lgamma_one(n: np.ndarray) -> np.ndarray:
-    """ln gamma(n + 1)."""
-    x = np.maximum(n, 1) + 1.0
-    big = (x - 0.5) * np.log(x) - x + 0.5 * math.log(2 * math.pi) + 1 / (12 * x) - 1 / (360 * x**3) + 1 / (1260 * x**5)
-    return np.where(n < 1, 0.0, big)
+    return np.where(n < len(few), few[np.minimum(n, len(few) - 1).astype(np.int64)], big)
 
 
 class Model:
@@ -152,7 +128,7 @@ class Model:
         kept = []
         for d in range(len(levels) - 1, -1, -1):
             keys, zero, one = levels[d]
-            block = _lgamma_half(zero) + _lgamma_half(one) - math.log(math.pi) - _lgamma_one(zero + one)
+            block = _lgamma(zero, 0.5, _HALF) + _lgamma(one, 0.5, _HALF) - math.log(math.pi) - _lgamma(zero + one, 1.0, _ONE)
             under = np.zeros(len(keys))
             inner = np.zeros(len(keys), bool)
             if below is not None and len(keys):
@@ -177,7 +153,7 @@ class Model:
                 left_here, mixed_here = left[at], mixed[at]
             else:
                 left_here, mixed_here = np.ones(len(ratio)), np.zeros(len(ratio))
-            self.ones.append((mixed_here + left_here * ratio).astype(np.float32))
+            self.ones.append(mixed_here + left_here * ratio)
             nodes, left, mixed = self.nodes[d], left_here * (1 - stop), mixed_here + left_here * stop * ratio
         self.state = nodes, left, mixed
 
@@ -267,17 +243,20 @@ def _parts(rows: Iterator[pa.RecordBatch], first: int) -> Iterator[tuple[np.ndar
         yield tuple(np.concatenate(x) for x in zip(*have, strict=True))
 
 
-def _together(rows: DataFrame, depth: int) -> DataFrame:
-    """rows (key, n, asked) with all of a context of the first depth below the top in one partition and in a row."""
-    context = F.col("key").bitwiseAND(F.lit(mask(min(TOP + 1, depth)) & ~255))
+def _together(rows: DataFrame, first: int) -> DataFrame:
+    """rows (key, n, asked) with all of a context of depth first in one partition and in a row."""
+    context = F.col("key").bitwiseAND(F.lit(mask(first) & ~255))
     return rows.select("key", "n", "asked", context.alias("context")).repartition("context").sortWithinPartitions("context").select("key", "n", "asked")
 
 
 def train(found: DataFrame, depth: int = DEPTH) -> tuple[Model, int]:
-    """The model of depths 0..TOP, with the evidence of all that is deeper, of a written table of counts(), and the
-    number of symbols behind it. Its size is bounded by the bytes there are, whatever the corpus."""
+    """The model of the tree's top, with the evidence of all that is deeper, of a written table of counts(), and the
+    number of symbols behind it."""
     grams, last = found.where("kind = 0"), min(TOP, depth)
-    keys, n = arrays_of(grams.groupBy(F.col("key").bitwiseAND(F.lit(mask(last))).alias("key")).agg(F.sum("n").alias("n")))
+    at = lambda d: grams.groupBy(F.col("key").bitwiseAND(F.lit(mask(d))).alias("key")).agg(F.sum("n").alias("n"))
+    while last > 1 and at(last).count() > MOST_TOP:
+        last -= 1
+    keys, n = arrays_of(at(last))
     below = None
     if depth > last:
 
@@ -286,24 +265,24 @@ def train(found: DataFrame, depth: int = DEPTH) -> tuple[Model, int]:
                 nodes, evidence = Model(_levels(key, n, range(last + 1, depth + 1)), last + 1).up
                 yield pa.RecordBatch.from_arrays([pa.array(nodes.view(np.int64)), pa.array(evidence)], ["key", "n"])
 
-        said = _together(grams.select("key", "n", F.lit(False).alias("asked")), depth).mapInArrow(of, "key long, n double")
-        below = arrays_of(said.groupBy("key").agg(F.sum("n").alias("n")))
+        said = common.mapped(_together(grams.select("key", "n", F.lit(False).alias("asked")), last + 1), of, "key long, n double")
+        below = arrays_of(said.groupBy("key").agg(F.sum("n").alias("n")))  # the nodes of depth last
     return Model(_levels(keys, n, range(last + 1)), below=below), int(n.sum())
 
 
-def evaluated(rows: DataFrame, top: Broadcast, depth: int = DEPTH) -> DataFrame:
+def evaluated(rows: DataFrame, model: Model, top: Broadcast, depth: int = DEPTH) -> DataFrame:
     """Rows (key, log10) for the distinct keys asked for in rows (key, n: its count in training or 0, asked). rows hold
     every key of the training table; the part of the tree below the top is built context by context."""
+    first = len(model.nodes)
 
     def of(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first = min(TOP, depth) + 1
         for key, n, asked in _parts(rows, min(first, depth)):
             if asked.any():
                 part = Model(_levels(key[n > 0], n[n > 0], range(first, depth + 1)), first, top.value)
                 want = np.unique(key[asked])
                 yield pa.RecordBatch.from_arrays([pa.array(want.view(np.int64)), pa.array(part.log10(want))], ["key", "log10"])
 
-    return _together(rows, depth).mapInArrow(of, "key long, log10 double")
+    return common.mapped(_together(rows, min(first, depth)), of, "key long, log10 double")
 
 
 def scores(docs: DataFrame, training: Column, key: str = "doc_id", text: str = "text", depth: int = DEPTH) -> DataFrame:
@@ -311,13 +290,18 @@ def scores(docs: DataFrame, training: Column, key: str = "doc_id", text: str = "
 
     training says which rows are learnt from; held_out is its negation (a null is held out). The base is the unigram
     word model with add-one smoothing."""
+    with common.scratch() as own:
+        return common.written(_scores(docs, training, key, text, depth, own), "scores")
+
+
+def _scores(docs: DataFrame, training: Column, key: str, text: str, depth: int, own: common.Scratch) -> DataFrame:
     spark = docs.sparkSession
     held = ~F.coalesce(training, F.lit(False))
-    found = common.written(counts(docs.where(~held).select(F.coalesce(F.col(text), F.lit("")).alias("text")), depth), "counts")
+    found = own.written(counts(docs.where(~held).select(F.coalesce(F.col(text), F.lit("")).alias("text")), depth), "counts")
     model, total = train(found, depth)
     top, least = spark.sparkContext.broadcast(model), max(1, total >> SHARE_BITS)
     grams = found.where("kind = 0")
-    common_keys, common_logs = arrays_of(evaluated(grams.select("key", "n", (F.col("n") >= least).alias("asked")), top, depth).withColumnRenamed("log10", "n"))
+    common_keys, common_logs = arrays_of(evaluated(grams.select("key", "n", (F.col("n") >= least).alias("asked")), model, top, depth).withColumnRenamed("log10", "n"))
     vocabulary = found.where("kind = 1")
     n_words, v_words = vocabulary.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     ends = found.where("kind = 2").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
@@ -331,7 +315,7 @@ def scores(docs: DataFrame, training: Column, key: str = "doc_id", text: str = "
         seen_keys, seen_logs, often, cost = shared.value
         for part in parts:
             rows = list(zip(part.column(0).to_pylist(), part.column(2).to_pylist(), strict=True))
-            for ids, texts in words.batches(rows, part.column(1).to_pylist()):
+            for ids, texts in words.batches(rows, (t.as_py() for t in part.column(1))):
                 keys, bounds = keys_of(texts, depth)
                 distinct, back = np.unique(keys, return_inverse=True)
                 at = np.minimum(np.searchsorted(seen_keys, distinct), max(len(seen_keys) - 1, 0))
@@ -359,9 +343,9 @@ def scores(docs: DataFrame, training: Column, key: str = "doc_id", text: str = "
                 ], ["id", "held_out", "n_tokens", "n_known", "base", "score", "n_bytes", "rare", "keys"])
 
     schema = "id long, held_out boolean, n_tokens long, n_known long, base double, score double, n_bytes long, rare array<long>, keys array<long>"
-    every = docs.select(F.col(key).cast("long"), F.coalesce(F.col(text), F.lit("")), held).mapInArrow(of, schema)
+    every = common.mapped(docs.select(F.col(key).cast("long"), F.coalesce(F.col(text), F.lit("")), held), of, schema)
     # A number of our own for each row: ids may repeat.
-    every = common.written(every.withColumn("row", F.monotonically_increasing_id()), "scored")
+    every = own.written(every.withColumn("row", F.monotonically_increasing_id()), "scored")
     rare_words = vocabulary.where(F.col("n") < floor).select("key", F.log10((F.col("n") + 1) / F.lit(float(n + v + 1))).alias("cost"))
     rare = (
         every.select("row", F.explode("rare").alias("key")).join(rare_words, "key", "left")
@@ -369,7 +353,7 @@ def scores(docs: DataFrame, training: Column, key: str = "doc_id", text: str = "
     )
     asked = every.select("row", F.explode("keys").alias("key"))
     rows = grams.select("key", "n", F.lit(False).alias("asked")).unionAll(asked.select("key").distinct().select("key", F.lit(0).cast("long"), F.lit(True)))
-    logs = common.written(evaluated(rows, top, depth), "logs")
+    logs = own.written(evaluated(rows, model, top, depth), "logs")
     deep = asked.join(logs, "key").groupBy("row").agg(F.sum("log10").alias("deep"))
     both = every.drop("rare", "keys").join(rare, "row", "left").join(deep, "row", "left").withColumn("score", F.col("score") + F.coalesce("deep", F.lit(0.0)))
     return both.select(
