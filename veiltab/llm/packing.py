@@ -19,6 +19,7 @@ ignored.
 from __future__ import annotations
 
 import base64
+import re
 import zlib
 from collections import deque
 from collections.abc import Iterator
@@ -29,11 +30,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import common
+
 WINDOW, SMALLEST = 2048, 64
 STEP_TOKENS = 1 << 17
 #: Tokens that are held before they are packed; the pieces of a block share no window with another block's but for the open ones.
 BLOCK_TOKENS = 1 << 21
 END_ID = 1
+#: Characters of a run of white space from which on a text is encoded by the JSON file.
+LONG_RUN = 100_000
+_RUN = re.compile(rf"\s{{{LONG_RUN}}}")
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, window long, step_group long"
 
 
@@ -41,11 +47,23 @@ def tokenizer(name: str = "byte_bpe_50k"):
     """An encoder of lists of texts to id arrays; the same ids as the JSON file gives in `tokenizers`, from its rank file."""
     import public_tokenizers as files
     import tiktoken
+    import tokenizers
 
     with open(files.path(f"{name}.tiktoken"), "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     own = tiktoken.Encoding(name, pat_str=files.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return lambda text: own.encode_ordinary(text)
+    other = None
+
+    def encode(text: str) -> list[int]:
+        nonlocal other
+        if len(text) < LONG_RUN or not _RUN.search(text):
+            return own.encode_ordinary(text)
+        if other is None:  # the rank file's matcher overflows its stack on such a run, the JSON file's does not
+            other = tokenizers.Tokenizer.from_file(files.path(f"{name}.json"))
+            other.encode_special_tokens = True
+        return other.encode(text, add_special_tokens=False).ids
+
+    return encode
 
 
 class Packer:
@@ -145,7 +163,7 @@ def packed(docs: DataFrame, key: str = "doc_id", text: str = "text", encode=toke
                 yield pa.RecordBatch.from_arrays([pa.array(c[a : a + 50_000], pa.int64()) for c in columns], names)
 
         for part in parts:
-            for i, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+            for i, t in zip(part.column(0).to_pylist(), (t.as_py() for t in part.column(1)), strict=True):
                 ids.append(i)
                 tokens.append(np.array([*own(t or ""), END_ID], "<u4"))
                 have += len(tokens[-1])
@@ -154,7 +172,7 @@ def packed(docs: DataFrame, key: str = "doc_id", text: str = "text", encode=toke
         if tokens:
             yield from block()
 
-    return docs.select(F.col(key).cast("long"), F.col(text).cast("string")).mapInArrow(of, SCHEMA)
+    return common.mapped(docs.select(F.col(key).cast("long"), F.col(text).cast("string")), of, SCHEMA)
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -162,4 +180,5 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents, as in SCHEMA: the last stage, so the documents' own columns end here."""
     return packed(docs)
