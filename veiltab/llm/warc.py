@@ -9,8 +9,9 @@ payload digest) it searches for the next member or version line that holds a val
 logs the bytes between as a quarantined gap. Plain, uncompressed archives are read by the same rules.
 
 Edge cases. A null payload is the empty one, and empty payloads are equal payloads like any other. Of equal payloads
-the record with the largest id is the response (ties of repeated ids: any of them). A file of no valid record is one
-gap. An empty table gives no files and no rows. Other columns are ignored.
+the record with the largest id is the response, of rows that share that id the last in the table's order (the table
+is read twice, so that order must hold). A file of no valid record is one gap. An archive is held in memory by one task,
+so Spark's limit for binary columns, 2 GB, holds for an archive and for a record. An empty table gives no files and no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,6 +31,11 @@ from . import common
 #: Least payload of which equal ones become revisits.
 LEAST_REVISIT = 0
 _MEMBER = 8 << 20  # bytes of a record in one gzip member
+#: Records of an archive, so that one is some hundred MB for common pages; a reader's task holds an archive at a time.
+FILE_RECORDS = 20_000
+#: Most bytes that a gzip member may inflate to, the most that a row's column can hold; one beyond that is a gap.
+MOST_INFLATED = (1 << 31) - (1 << 20)
+_PIECE = 1 << 20
 _DATE = "2024-01-01T00:00:00Z"
 _MAGIC, _VERSION = b"\x1f\x8b\x08", re.compile(rb"WARC/[01]\.[0-9]\r\n")
 RECORD_SCHEMA = "file string, offset long, length long, record_id string, record_type string, target_uri string, refers_to string, payload_digest string, payload_bytes long, payload binary, gap string"
@@ -67,35 +73,39 @@ def write(pages: DataFrame, path: str, key: str = "page_id", url: str = "url", h
     spark = pages.sparkSession
     body = F.encode(F.coalesce(F.col(html), F.lit("")), "UTF-8")
     rows = pages.select(F.col(key).cast("long").alias("id"), F.col(url).cast("string").alias("url"), body.alias("body"), F.sha1(body).alias("sha1"))
-    groups = rows.where(F.octet_length("body") >= least).groupBy("sha1").agg(F.max("id").alias("first"), F.count("*").alias("copies")).where("copies > 1").select("sha1", "first")
-    marked = rows.join(common.small(common.written(groups, "payloads")), "sha1", "left")
+    rows = rows.withColumn("row", F.monotonically_increasing_id())  # rows may share an id: the last of them is the response
+    groups = rows.where(F.octet_length("body") >= least).groupBy("sha1").agg(F.max(F.struct("id", "row")).alias("top"), F.count("*").alias("copies")).where("copies > 1")
+    groups = common.written(groups.select("sha1", F.col("top.id").alias("first"), F.col("top.row").alias("last")), "payloads")
+    # One row per payload on the right, so Spark may split a payload that very many pages have.
+    marked = rows.join(common.small(groups, row_bytes=120), "sha1", "left")
 
     def of(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             out = []
-            for i, u, b, h, first in zip(*(part.column(k).to_pylist() for k in range(5)), strict=True):
-                member = gzipped(record(i, u, b, None if first is None or first == i else first, base64.b32encode(bytes.fromhex(h)).decode()))
+            for i, u, h, first, b in zip(*(part.column(k).to_pylist() for k in range(4)), part.column(4), strict=True):
+                member = gzipped(record(i, u, b.as_py(), first, base64.b32encode(bytes.fromhex(h)).decode()))
                 out.append(member[:-1])
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["value"])
 
-    made = marked.select("id", "url", "body", "sha1", "first").mapInArrow(of, "value binary")
-    made.select(F.col("value").cast("string")).write.option("lineSep", "\0").mode("error").text(path)
+    made = common.mapped(marked.select("id", "url", "sha1", F.when(F.col("row") != F.col("last"), F.col("first")).alias("first"), "body"), of, "value binary")
+    made.select(F.col("value").cast("string")).write.option("lineSep", "\0").option("maxRecordsPerFile", FILE_RECORDS).mode("error").text(path)
+    common.forget(groups)
 
 
-def _inflate(data: bytes, at: int) -> tuple[bytes, int] | None:
-    """(contents, end) of the gzip member at `at`, or None if it fails its checks."""
-    z = zlib.decompressobj(31)
-    out = []
+def _inflate(data: memoryview, at: int) -> tuple[bytes, int] | None:
+    """(contents, end) of the gzip member at `at`, or None if it fails its checks or inflates beyond MOST_INFLATED."""
+    z, out, size, pos, more = zlib.decompressobj(31), [], 0, at, b""
     try:
-        pos = at
-        while not z.eof and pos < len(data):
-            out.append(z.decompress(data[pos : pos + (1 << 20)]))
-            pos += 1 << 20
+        while not z.eof and (more or pos < len(data)):
+            if not more:
+                more, pos = data[pos : pos + _PIECE], min(pos + _PIECE, len(data))
+            out.append(z.decompress(more, _PIECE))
+            size, more = size + len(out[-1]), z.unconsumed_tail
+            if size > MOST_INFLATED:
+                return None
     except zlib.error:
         return None
-    if not z.eof:
-        return None
-    return b"".join(out), min(pos, len(data)) - len(z.unused_data)
+    return (b"".join(out), pos - len(z.unused_data)) if z.eof else None
 
 
 def _headers(data: bytes, at: int = 0) -> tuple[dict[str, str], int] | None:
@@ -119,20 +129,20 @@ def _checked(fields: dict[str, str], body: bytes) -> bool:
     return fields["warc-type"] != "response" or not said.startswith("sha1:") or said[5:] == digest(body)
 
 
-def _at_gzip(data: bytes, at: int) -> tuple[dict[str, str], bytes, int] | None:
-    got = _inflate(data, at)
+def _at_gzip(data: bytes, view: memoryview, at: int) -> tuple[dict[str, str], bytes, int] | None:
+    got = _inflate(view, at)
     if not got:
         return None
     first, end = got
     while not (head := _headers(first)):  # a header may go on in further members
-        if not _VERSION.match(first) or data[end : end + 3] != _MAGIC or not (got := _inflate(data, end)) or _VERSION.match(got[0]):
+        if not _VERSION.match(first) or data[end : end + 3] != _MAGIC or not (got := _inflate(view, end)) or _VERSION.match(got[0]):
             return None
         first, end = first + got[0], got[1]
     fields, start = head
     held, need = [first[start:]], start + int(fields["content-length"]) + 4
     size = len(first)
     while size < need:
-        if data[end : end + 3] != _MAGIC or not (got := _inflate(data, end)) or _VERSION.match(got[0]):
+        if data[end : end + 3] != _MAGIC or not (got := _inflate(view, end)) or _VERSION.match(got[0]):
             return None
         held.append(got[0])
         size += len(got[0])
@@ -155,9 +165,9 @@ def _at_plain(data: bytes, at: int) -> tuple[dict[str, str], bytes, int] | None:
 
 def salvage(data: bytes) -> Iterator[tuple[int, int, dict[str, str] | None, bytes]]:
     """(offset, length, fields, body) of each valid record in order; fields are None for a quarantined gap."""
-    at = gap = 0
+    at, gap, view = 0, 0, memoryview(data)
     while at < len(data):
-        found = _at_gzip(data, at) if data[at : at + 3] == _MAGIC else _at_plain(data, at)
+        found = _at_gzip(data, view, at) if data[at : at + 3] == _MAGIC else _at_plain(data, at)
         if found:
             if gap < at:
                 yield gap, at - gap, None, b""
@@ -197,8 +207,7 @@ def read(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content")
-    return files.mapInArrow(of, RECORD_SCHEMA)
+    return common.mapped(spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content"), of, RECORD_SCHEMA)
 
 
 def page_of(column: str) -> Column:
@@ -210,3 +219,15 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     write(spark.read.parquet(f"{sf_dir}/pages.parquet"), path)
     return read(spark, path, payloads=False).where("gap is null").select(
         page_of("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", page_of("refers_to").alias("refers_to"))
+
+
+#: SHA-1 of each payload; its 160 bits are spelt in base 32.
+SQL = """
+WITH said AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
+hashed AS (SELECT page_id, strlen(body) AS payload_bytes, sha1(body) AS sha, max(page_id) OVER (PARTITION BY body) AS first FROM said),
+spelt AS (SELECT *, unhex(sha)::BIT::VARCHAR AS bits FROM hashed)
+SELECT page_id, payload_bytes, CASE WHEN first = page_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN first <> page_id THEN first END AS refers_to,
+       array_to_string(list_transform(generate_series(0, 31), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + list_sum(list_transform(generate_series(1, 5),
+         lambda k: CASE WHEN substr(bits, (5 * i + k)::BIGINT, 1) = '1' THEN 1 << (5 - k)::INT ELSE 0 END))::BIGINT, 1)), '') AS payload_digest
+FROM spelt
+"""
