@@ -1,17 +1,21 @@
 """Licence scans with a positional rare-token index, in DataFrame functions only.
 
 Templates are short word sequences with a label; the base ones are phrases, the others sentences of well-known
-licences with a mandatory key phrase. One pass counts in how many documents each licence word occurs. A template is
-looked up by its two words of highest IDF: their positions in a document, each less the word's place in the
-template, are intersected, which gives the starts where both stand at the right distance. There the template's words
-are compared place by place. A base phrase must match whole; another template with at least COVERAGE of its words,
-and its key phrase must stand in the document. score is the best share of a template's words found at such a start.
+licences with a mandatory key phrase inside. A base phrase must match whole, another template in COVERAGE percent of
+its words and in all of its key phrase, at the places where the template has them.
 
-Nothing is shuffled but the word counts (one row per licence word and task). Both lookups and checks are expressions
-on one row, so a document of any length or number of hits stays in its row.
+One pass over the texts leaves, per document, its licence words at their places; how many documents hold each gives its
+IDF. A template of which e words may differ is posted in the index under its e + 2 words of highest IDF, with their
+places: a document that matches has two of them at least, whichever e differ, and one of the e + 1 rarest, without
+which it is not looked up at all. Where a posted word stands in a document, its place less that in the template is a
+start; starts that two postings of a template share are checked word by word. So the index loses no match, and which
+words are rare in a corpus changes the work but not the result. score is the best share of words of what matched.
 
-Edge cases. A null or empty text has no words. Whole texts are scanned. Of words of equal IDF the alphabetically
-first is looked up. Repeated rows each give a row. An empty table gives no rows. Other columns are ignored.
+The index is a table that is joined, so the plan does not grow with the number of templates. Rows of a document are
+grouped by a number of its own; a text with very many starts is a row per start, never a list.
+
+Edge cases. A null or empty text has no words. Whole texts are scanned. Words of equal IDF rank by name. Repeated rows
+and rows that share an id each give a row. An empty table gives no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,8 +28,9 @@ from pyspark.sql import functions as F
 
 from . import common
 
+#: Words; percent of a template's words that must agree.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-COVERAGE = 0.8
+COVERAGE = 80
 
 
 @dataclass(frozen=True)
@@ -67,60 +72,87 @@ def words_of(text: Column) -> Column:
     return F.regexp_extract_all(common.lower_ascii(text), F.lit(f"({WORD})"), 1)
 
 
-def frequencies(docs: DataFrame, text: str, vocabulary: list[str]) -> dict[str, int]:
-    """In how many rows each word of a vocabulary of fixed size occurs."""
-    found = docs.select(F.explode(F.array_intersect(words_of(F.col(text)), F.array(*map(F.lit, vocabulary)))).alias("word")).groupBy("word").count()
-    return {r["word"]: r["count"] for r in found.collect()}
+def least_found(t: Template) -> int:
+    """Words of a template that must stand in their places."""
+    return len(t.words) if t.base else -(-COVERAGE * len(t.words) // 100)
+
+
+def key_place(t: Template) -> tuple[int, int]:
+    """Where a template's key phrase begins and ends in it."""
+    key, said = re.findall(WORD, t.key.lower()), t.words
+    return next((k, k + len(key)) for k in range(len(said)) if said[k : k + len(key)] == key)
+
+
+def postings(templates: tuple[Template, ...], counts: dict[str, int]) -> tuple[list[tuple[str, int, int, int]], list[str]]:
+    """(word, template, place, postings that must agree) of the index, and the words of which a document must have one."""
+    out, some = [], set()
+    for number, t in enumerate(templates):
+        said, spare = t.words, len(t.words) - least_found(t)
+        ranked = sorted(range(len(said)), key=lambda k: (counts.get(said[k], 0), said[k], k))
+        out += [(said[k], number, k, min(2, len(said))) for k in ranked[: spare + 2]]
+        some |= {said[k] for k in ranked[: spare + 1]}
+    return out, sorted(some)
+
+
+def _values(spark: SparkSession, rows: list[tuple], names: str) -> DataFrame:
+    """A small local table."""
+
+    def said(x: object) -> str:
+        return f"array({', '.join(map(said, x))})" if isinstance(x, list) else f"'{x}'" if isinstance(x, str) else str(x).lower()
+
+    return spark.sql(f"SELECT * FROM VALUES {', '.join('(' + ', '.join(map(said, r)) + ')' for r in rows)} AS t({names})")
 
 
 def scanned(docs: DataFrame, key: str = "doc_id", text: str = "text", templates: tuple[Template, ...] = TEMPLATES) -> DataFrame:
-    """Per row: id, n_words, n_base, first_word, last_word, base_labels, labels, score."""
-    counts = frequencies(docs, text, sorted({w for t in templates for w in t.words}))
-    rank = lambda w: (counts.get(w, 0), w)  # noqa: E731  lowest document frequency: highest IDF
-    rows = docs.select(F.col(key).cast("long").alias("id"), words_of(F.col(text)).alias("words")).withColumn("n_words", F.size("words").cast("long"))
-    anchors = sorted({min(t.words, key=rank) for t in templates})
-    w = F.col("words")
-
-    def starts(word: str, place: int) -> Column:
-        # Words from 0; a null stands where another word is.
-        return F.array_compact(F.transform(w, lambda x, i: F.when(x == word, i - place)))
-
-    def here(t: Template) -> Column:
-        """Starts where the template's two rarest words stand at their distance, with the number of its words there."""
-        said = t.words
-        rare = sorted(dict.fromkeys(said), key=rank)[:2]
-        places = [[k for k, x in enumerate(said) if x == r] for r in rare]
-        found = [F.array_distinct(F.concat(*(starts(r, p) for p in ps))) if len(ps) > 1 else starts(r, ps[0]) for r, ps in zip(rare, places, strict=True)]
-        both = F.array_intersect(*found) if len(found) > 1 else found[0]
-        whole = F.array(*map(F.lit, said))
-        count = lambda s: F.size(F.filter(F.sequence(F.lit(0), F.lit(len(said) - 1)), lambda k: (s + k >= 0) & (F.get(w, s + k) == F.get(whole, k))))
-        return F.transform(both, lambda s: F.struct(s.cast("long").alias("start"), count(s).alias("found")))
-
-    some = F.arrays_overlap(w, F.array(*map(F.lit, anchors)))
-    none = F.array().cast("array<struct<start:bigint,found:int>>")
-    for k, t in enumerate(templates):
-        rows = rows.withColumn(f"t{k}", F.when(some & F.array_contains(w, min(t.words, key=rank)), here(t)).otherwise(none))
-    said = F.concat(F.lit(" "), F.array_join("words", " "), F.lit(" "))
-    places, labels, base_labels, shares = [], [], [], []
-    whole_places = lambda found, n: F.transform(F.filter(found, lambda x: x["found"] == n), lambda x: x["start"])
-    for k, t in enumerate(templates):
-        size, col = len(t.words), F.col(f"t{k}")
-        if t.base:
-            full = whole_places(col, size)
-            places.append(full)
-            base_labels.append(F.when(F.size(full) > 0, F.lit(t.label)))
-            labels.append(base_labels[-1])
-            shares.append(F.when(F.size(full) > 0, F.lit(1.0)))
-        else:
-            best = F.array_max(F.transform(col, lambda x: x["found"])) / F.lit(float(size))
-            ok = F.when(F.size(col) > 0, (best >= COVERAGE) & F.contains(said, F.lit(f" {' '.join(re.findall(WORD, t.key.lower()))} ")))
-            labels.append(F.when(ok, F.lit(t.label)))
-            shares.append(best)
-    joined = lambda xs: F.array_join(F.array_sort(F.array_distinct(F.array_compact(F.array(*xs)))), ",")
-    rows = rows.withColumn("places", F.concat(*places))
-    return rows.select("id", "n_words", F.size("places").cast("long").alias("n_base"), F.array_min("places").alias("first_word"), F.array_max("places").alias("last_word"),
-                       joined(base_labels).alias("base_labels"), joined(labels).alias("labels"), F.coalesce(F.array_max(F.array(*shares)), F.lit(0.0)).alias("score"))
+    """Per row: id, n_words, n_base, first_word, last_word, base_labels, labels, score. A written table."""
+    spark, vocabulary = docs.sparkSession, sorted({w for t in templates for w in t.words})
+    with common.scratch() as own:
+        said = docs.select(F.col(key).cast("long").alias("id"), words_of(F.col(text)).alias("words"))
+        marks = F.transform("words", lambda x: F.when(x.isin(vocabulary), x))
+        marked = own.written(said.select("id", F.size("words").cast("long").alias("n_words"), marks.alias("marks")).withColumn("row", F.monotonically_increasing_id()), "marked")
+        counts = {r["word"]: r["n"] for r in marked.select(F.explode(F.array_distinct("marks")).alias("word")).where("word is not null").groupBy("word").agg(F.count("*").alias("n")).collect()}  # a row per licence word
+        index, some = postings(templates, counts)
+        posted = F.broadcast(_values(spark, index, "word, template, place, least"))  # as many rows as the templates have words at most
+        known = F.broadcast(_values(spark, [(k, t.label, t.base, t.words, least_found(t), *((0, 0) if t.base else key_place(t))) for k, t in enumerate(templates)], "template, label, base, said, least, key_from, key_to"))
+        likely = marked.where(F.arrays_overlap("marks", F.array(*map(F.lit, some)))).select("row", F.posexplode("marks").alias("at", "word"))
+        likely = likely.where(F.col("word").isin(sorted({w for w, *_ in index}))).join(posted, "word")
+        starts = likely.groupBy("row", "template", (F.col("at") - F.col("place")).alias("start")).agg(F.count("*").alias("n"), F.first("least").alias("least")).where("n >= least").select("row", "template", "start")
+        starts = own.written(starts, "starts")
+        agrees = lambda k: F.coalesce(F.get("marks", F.col("start") + k) == F.get("said", k), F.lit(False))
+        checked = marked.select("row", "marks").join(common.small(starts), "row").join(known, "template")
+        checked = checked.withColumn("found", F.size(F.filter(F.sequence(F.lit(0), F.size("said") - 1), agrees)))
+        checked = checked.where((F.col("found") >= F.col("least")) & (F.col("base") | F.forall(F.sequence("key_from", F.col("key_to") - 1), agrees)))
+        base, joined = lambda x: F.when(F.col("base"), x), lambda x: F.array_join(F.array_sort(F.collect_set(x)), ",")
+        place = F.col("start").cast("long")
+        judged = checked.groupBy("row").agg(
+            F.count(base(place)).alias("n_base"), F.min(base(place)).alias("first_word"), F.max(base(place)).alias("last_word"),
+            joined(base(F.col("label"))).alias("base_labels"), joined("label").alias("labels"), F.max(F.col("found") / F.size("said")).alias("score"))
+        judged = own.written(judged, "judged")
+        return common.written(marked.select("row", "id", "n_words").join(common.small(judged), "row", "left").select(
+            "id", "n_words", F.coalesce("n_base", F.lit(0)).alias("n_base"), "first_word", "last_word",
+            F.coalesce("base_labels", F.lit("")).alias("base_labels"), F.coalesce("labels", F.lit("")).alias("labels"), F.coalesce("score", F.lit(0.0)).alias("score")), "licences")
 
 
 def op8_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scanned(spark.read.parquet(f"{sf_dir}/documents.parquet")).withColumnRenamed("id", "doc_id")
+
+
+def _sql() -> str:
+    """The same rows from all alignments of all templates, without an index."""
+    rows = ", ".join(f"({k}, '{t.label}', {t.base}, {len(t.words)}, {least_found(t)}, {p}, '{w}', {t.base or key_place(t)[0] <= p < key_place(t)[1]}, {0 if t.base else key_place(t)[1] - key_place(t)[0]})".lower() for k, t in enumerate(TEMPLATES) for p, w in enumerate(t.words))
+    return rf"""
+WITH t(template, label, base, size, least, place, word, in_key, key_size) AS (VALUES {rows}),
+said AS (SELECT doc_id, regexp_extract_all({common.LOWER_SQL}, '{WORD}') AS words FROM documents),
+placed AS (SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) - 1 AS at FROM said),
+hits AS (SELECT p.doc_id, t.template, t.label, t.base, t.size, p.at - t.place AS start, count(*) AS found
+         FROM placed p JOIN t ON p.word = t.word GROUP BY p.doc_id, t.template, t.label, t.base, t.size, t.least, t.key_size, p.at - t.place
+         HAVING count(*) >= t.least AND (t.base OR count(*) FILTER (WHERE t.in_key) = t.key_size)),
+judged AS (SELECT doc_id, count(*) FILTER (WHERE base) AS n_base, min(start) FILTER (WHERE base) AS first_word, max(start) FILTER (WHERE base) AS last_word,
+                  array_to_string(list_sort(list(DISTINCT label) FILTER (WHERE base)), ',') AS base_labels, array_to_string(list_sort(list(DISTINCT label)), ',') AS labels,
+                  max(found::DOUBLE / size) AS score FROM hits GROUP BY doc_id)
+SELECT s.doc_id, len(s.words) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0.0::DOUBLE) AS score
+FROM said s LEFT JOIN judged j ON s.doc_id = j.doc_id
+"""
+
+
+SQL = _sql()
