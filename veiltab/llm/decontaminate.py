@@ -46,31 +46,32 @@ def seeds(rows: DataFrame, masks: tuple[str, ...]) -> DataFrame:
 
 
 def overlaps(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text") -> DataFrame:
-    """Rows (id, item_id, agreed: most tokens that agree in a window): the verified overlaps, one per document and item."""
-    bench = items.select(F.col(item_key).cast("long").alias("item_id"), tokens(F.col(item_text)).alias("item")).where(F.size("item") > 0)
-    bench = common.written(bench.withColumn("n", F.size("item")), "items")
-    short = [r.n for r in bench.where(F.col("n") < SPAN).select("n").distinct().orderBy("n").collect()]  # SPAN - 1 lengths at most
-    light = LIGHT if bench.where(F.col("n").between(SPAN, WINDOW - 1)).take(1) else ()
-    masks = (*MASKS, *light, *("1" * n for n in short))
-    named = bench.select(F.col("item_id").alias("id"), F.col("item").alias("tokens"))
-    whole = seeds(named.where(F.size("tokens") >= WINDOW), MASKS)
-    if light:
-        whole = whole.unionAll(seeds(named.where(F.size("tokens").between(SPAN, WINDOW - 1)), light))
-    for n in short:
-        whole = whole.unionAll(seeds(named.where(F.size("tokens") == n), ("1" * n,)))
-    table = common.written(whole.select("seed", F.col("id").alias("item_id"), F.col("at").alias("item_at")).distinct(), "seeds")
-    rows = docs.select(F.col(key).cast("long").alias("id"), tokens(F.col(text)).alias("tokens")).where(F.size("tokens") > 0)
-    hits = seeds(rows, masks).join(common.small(table), "seed").select("id", "item_id", (F.col("at") - F.col("item_at")).alias("diagonal")).distinct()
-    hits = common.written(hits, "hits")
-    ids = common.written(hits.select("id").distinct(), "ids")
-    again = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).join(common.small(ids), "id", "left_semi").select("id", tokens(F.col("text")).alias("tokens"))
-    pairs = hits.join(common.small(bench), "item_id").join(again, "id")
-    size = F.least(F.lit(WINDOW), F.col("n"))
-    same = F.transform("item", lambda x, i: F.when((i + F.col("diagonal") >= 0) & (F.get("tokens", i + F.col("diagonal")) == x), 1).otherwise(0))
-    window = lambda s: F.aggregate(F.slice("same", s, F.col("size")), F.lit(0), lambda a, b: a + b)
-    checked = pairs.withColumn("size", size).withColumn("same", same).withColumn("agreed", F.array_max(F.transform(F.sequence(F.lit(1), F.col("n") - F.col("size") + 1), window)))
-    least = F.when(F.col("n") < SPAN, F.col("size") * 100).otherwise(F.col("size") * PERCENT)
-    return checked.where(F.col("agreed") * 100 >= least).groupBy("id", "item_id").agg(F.max("agreed").cast("long").alias("agreed"))
+    """Rows (id, item_id, agreed: most tokens that agree in a window): the verified overlaps, one per document and item. A written table."""
+    with common.scratch() as own:
+        bench = items.select(F.col(item_key).cast("long").alias("item_id"), tokens(F.col(item_text)).alias("item")).where(F.size("item") > 0)
+        bench = own.written(bench.withColumn("n", F.size("item")), "items")
+        short = [r.n for r in bench.where(F.col("n") < SPAN).select("n").distinct().orderBy("n").collect()]  # SPAN - 1 lengths at most
+        light = LIGHT if bench.where(F.col("n").between(SPAN, WINDOW - 1)).take(1) else ()
+        masks = (*MASKS, *light, *("1" * n for n in short))
+        named = bench.select(F.col("item_id").alias("id"), F.col("item").alias("tokens"))
+        whole = seeds(named.where(F.size("tokens") >= WINDOW), MASKS)
+        if light:
+            whole = whole.unionAll(seeds(named.where(F.size("tokens").between(SPAN, WINDOW - 1)), light))
+        for n in short:
+            whole = whole.unionAll(seeds(named.where(F.size("tokens") == n), ("1" * n,)))
+        table = own.written(whole.select("seed", F.col("id").alias("item_id"), F.col("at").alias("item_at")).distinct(), "seeds")
+        rows = docs.select(F.col(key).cast("long").alias("id"), tokens(F.col(text)).alias("tokens")).where(F.size("tokens") > 0)
+        hits = seeds(rows, masks).join(common.small(table), "seed").select("id", "item_id", (F.col("at") - F.col("item_at")).alias("diagonal")).distinct()
+        hits = own.written(hits, "hits")
+        ids = own.written(hits.select("id").distinct(), "ids")
+        again = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).join(common.small(ids), "id", "left_semi").select("id", tokens(F.col("text")).alias("tokens"))
+        pairs = hits.join(common.small(bench), "item_id").join(again, "id")
+        size = F.least(F.lit(WINDOW), F.col("n"))
+        same = F.transform("item", lambda x, i: F.when((i + F.col("diagonal") >= 0) & (F.get("tokens", i + F.col("diagonal")) == x), 1).otherwise(0))
+        window = lambda s: F.aggregate(F.slice("same", s, F.col("size")), F.lit(0), lambda a, b: a + b)
+        checked = pairs.withColumn("size", size).withColumn("same", same).withColumn("agreed", F.array_max(F.transform(F.sequence(F.lit(1), F.col("n") - F.col("size") + 1), window)))
+        least = F.when(F.col("n") < SPAN, F.col("size") * 100).otherwise(F.col("size") * PERCENT)
+        return common.written(checked.where(F.col("agreed") * 100 >= least).groupBy("id", "item_id").agg(F.max("agreed").cast("long").alias("agreed")), "overlaps")
 
 
 def judged(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -88,4 +89,24 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Contaminated documents go."""
     found = common.written(overlaps(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(F.col("id").alias("doc_id")).distinct(), "contaminated")
-    return docs.join(common.small(found), "doc_id", "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
+    found = found.withColumnRenamed("doc_id", "__found")
+    return docs.join(common.small(found), F.col("doc_id") == F.col("__found"), "left_anti")
+
+
+#: All places where a document and an item agree in a word, by diagonal; the most in a window that begins with one, or in the last window.
+SQL = rf"""
+WITH bench AS (SELECT item_id, regexp_extract_all({common.LOWER_SQL}, '{WORD}') AS words FROM benchmark),
+items AS (SELECT item_id, len(words) AS n, least({WINDOW}, len(words)) AS size, unnest(words) AS word, generate_subscripts(words, 1) - 1 AS place FROM bench),
+said AS (SELECT doc_id, regexp_extract_all({common.LOWER_SQL}, '{WORD}') AS words FROM documents),
+placed AS (SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) - 1 AS at FROM said),
+same AS (SELECT p.doc_id, i.item_id, i.n, i.size, p.at - i.place AS diagonal, i.place FROM placed p JOIN items i ON p.word = i.word),
+dense AS (SELECT doc_id, item_id, diagonal FROM same GROUP BY doc_id, item_id, diagonal, size, n HAVING count(*) * 100 >= size * CASE WHEN n < {SPAN} THEN 100 ELSE {PERCENT} END),
+counted AS (SELECT s.doc_id, s.item_id, s.n, s.size, count(*) OVER (PARTITION BY s.doc_id, s.item_id, s.diagonal ORDER BY s.place RANGE BETWEEN CURRENT ROW AND {WINDOW - 1} FOLLOWING) AS own,
+                   count(*) FILTER (WHERE s.place >= s.n - s.size) OVER (PARTITION BY s.doc_id, s.item_id, s.diagonal) AS last
+            FROM same s JOIN dense USING (doc_id, item_id, diagonal)),
+best AS (SELECT doc_id, item_id, max(greatest(own, last)) AS agreed FROM counted
+         WHERE greatest(own, last) * 100 >= size * CASE WHEN n < {SPAN} THEN 100 ELSE {PERCENT} END GROUP BY doc_id, item_id),
+judged AS (SELECT doc_id, count(*) AS n_items, array_to_string(list_sort(list(item_id))::VARCHAR[], ',') AS item_ids, max(agreed) AS agreed FROM best GROUP BY doc_id)
+SELECT s.doc_id, j.doc_id IS NOT NULL AS contaminated, coalesce(n_items, 0) AS n_items, coalesce(item_ids, '') AS item_ids, coalesce(agreed, 0) AS agreed
+FROM said s LEFT JOIN judged j ON s.doc_id = j.doc_id
+"""
