@@ -35,8 +35,8 @@ BUCKETS, ROWS = 256, 6
 MANTISSA = 10
 #: Standard deviations of the estimate below the threshold at which a candidate is dropped unverified.
 MARGIN = 4.5
-#: Most classes of a bucket's block; what the stars leave apart is compared block by block.
-BLOCK = 256
+#: Classes and shingles of a bucket's block, about; what the stars leave apart is compared block by block.
+BLOCK, BLOCK_SHINGLES = 256, 1 << 19
 
 
 def registers(sets: np.ndarray, bounds: np.ndarray, buckets: int = BUCKETS) -> np.ndarray:
@@ -78,7 +78,7 @@ def sketches(docs: DataFrame, key: str = "doc_id", text: str = "text", width: in
 
     def of(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            for ids, texts in words.batches(part.column(0).to_pylist(), part.column(1).to_pylist()):
+            for ids, texts in words.batches(part.column(0).to_pylist(), (t.as_py() for t in part.column(1))):
                 sets, bounds = words.shingle_sets(texts, width)
                 sizes = np.diff(bounds)
                 table = registers(sets, bounds)
@@ -91,7 +91,7 @@ def sketches(docs: DataFrame, key: str = "doc_id", text: str = "text", width: in
                     pa.array([r.tobytes() if s else None for r, s in zip(table, sizes, strict=True)], pa.binary()),
                 ], ["id", "n", "f1", "f2", "sketch"])
 
-    return docs.select(F.col(key).cast("long"), F.col(text)).mapInArrow(of, "id long, n long, f1 long, f2 long, sketch binary")
+    return common.mapped(docs.select(F.col(key).cast("long"), F.col(text)), of, "id long, n long, f1 long, f2 long, sketch binary")
 
 
 def expected_collisions(na: np.ndarray, nb: np.ndarray, buckets: int, mantissa: int = MANTISSA) -> np.ndarray:
@@ -116,32 +116,38 @@ def estimates(pairs: DataFrame, threshold: float, margin: float = MARGIN) -> Dat
             spread = np.sqrt(threshold * (1 - threshold) / np.minimum(k, np.maximum(np.minimum(na, nb), 1)))
             yield part.select(["a", "b", "na", "nb"]).filter(pa.array(estimate >= threshold - margin * spread))
 
-    return pairs.mapInArrow(of, "a long, b long, na long, nb long")
+    return common.mapped(pairs, of, "a long, b long, na long, nb long")
 
 
 def shingles(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
     def of(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            for ids, texts in words.batches(part.column(0).to_pylist(), part.column(1).to_pylist()):
+            for ids, texts in words.batches(part.column(0).to_pylist(), (t.as_py() for t in part.column(1))):
                 sets, bounds = words.shingle_sets(texts, width)
                 lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(sets.view(np.int64)))
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), lists], ["id", "shingles"])
 
-    return docs.select(F.col(key).cast("long"), F.col(text)).mapInArrow(of, "id long, shingles array<long>")
+    return common.mapped(docs.select(F.col(key).cast("long"), F.col(text)), of, "id long, shingles array<long>")
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, key: str, text: str, width: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of candidates (a, b, na, nb) with 100 * intersection >= percent * union of their full sets."""
-    pairs = common.written(pairs, "candidates")
-    ids = common.written(pairs.select(F.col("a").alias("id")).unionAll(pairs.select("b")).distinct(), "ids")
+def sets_of(ids: DataFrame, docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
+    """Rows (id, shingles) of the documents named by a written table (id)."""
     some = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).join(common.small(ids), "id", "left_semi")
-    sets = common.written(shingles(some, "id", "text", width), "sets")
-    left, right = sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb"))
-    both = F.size(F.array_intersect("sa", "sb"))
-    out = common.written(pairs.join(right, "b").join(left, "a").where(100 * both >= percent * (F.col("na") + F.col("nb") - both)).select("a", "b"), "linked")
-    for used in (pairs, ids, sets):
-        common.forget(used)
-    return out
+    return shingles(some, "id", "text", width)
+
+
+def confirmed(pairs: DataFrame, docs: DataFrame, key: str, text: str, width: int, percent: int) -> DataFrame:
+    """The pairs (a, b) of candidates (a, b, na, nb) with 100 * intersection >= percent * union of their full sets.
+
+    a may be in any number of pairs (the centre of a star), b in few: a's sets are joined first, while the rows of a
+    hot a are four numbers each (and Spark splits them), and go on dealt by b."""
+    with common.scratch() as own:
+        pairs = own.written(pairs, "candidates")
+        ids = own.written(pairs.select(F.col("a").alias("id")).unionAll(pairs.select("b")).distinct(), "ids")
+        sets = own.written(sets_of(ids, docs, key, text, width), "sets")
+        left, right = sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb"))
+        both = F.size(F.array_intersect("sa", "sb"))
+        return common.written(pairs.join(left, "a").join(right, "b").where(100 * both >= percent * (F.col("na") + F.col("nb") - both)).select("a", "b"), "linked")
 
 
 def forest(names: np.ndarray, component: np.ndarray, equal: np.ndarray) -> list[tuple[int, int]]:
@@ -180,20 +186,21 @@ def overlaps(sets: list[np.ndarray], columns: int = 4096) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def residue(rest: DataFrame, classes: DataFrame, docs: DataFrame, key: str, text: str, width: int, percent: int) -> DataFrame:
-    """Links (a, b) between classes of one bucket and different components; rest: (key, members, rep, n, component)."""
+def residue(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between classes of one bucket and different components.
+
+    rest: (key, members: classes of the bucket, volume: shingles of them all, rep, n, component); sets: (rep, shingles,
+    sketch). A task gets two blocks of a bucket, so its memory is bounded by BLOCK and BLOCK_SHINGLES, or two sets if
+    these are larger."""
     threshold = percent / 100
-    ids = common.written(rest.select(F.col("rep").alias("id")).distinct(), "ids")
-    some = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).join(common.small(ids), "id", "left_semi")
-    sets = common.written(shingles(some, "id", "text", width).withColumnRenamed("id", "rep").join(classes.select("rep", "sketch"), "rep"), "sets")
-    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
+    blocks = F.ceil(F.greatest(F.col("members") / BLOCK, F.col("volume") / BLOCK_SHINGLES)).cast("int")
     dealt = rest.withColumn("own", F.pmod(F.xxhash64("rep"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     dealt = dealt.select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "rep", "n", "component").join(sets, "rep")
 
     def of(group: pa.Table) -> pa.Table:
         names, n, component = (group.column(c).to_numpy() for c in ("rep", "n", "component"))
         table = np.stack([np.frombuffer(x, np.uint16) for x in group.column("sketch").to_pylist()])
-        same = np.zeros((len(n), len(n)), np.int32)
+        same = np.zeros((len(n), len(n)), np.int16)
         for register in range(table.shape[1]):
             same += table[:, register, None] == table[None, :, register]
         chance = expected_collisions(n[:, None], n[None, :], table.shape[1]) / table.shape[1]
@@ -202,6 +209,7 @@ def residue(rest: DataFrame, classes: DataFrame, docs: DataFrame, key: str, text
         likely = (estimate >= threshold - MARGIN * spread) & (component[:, None] != component[None, :])
         on = np.flatnonzero(likely.any(axis=1))
         links = []
+        del same, estimate, spread, table
         if len(on):
             lists = group.column("shingles").combine_chunks()
             flat, bounds = lists.values.to_numpy(), lists.offsets.to_numpy()
@@ -214,39 +222,47 @@ def residue(rest: DataFrame, classes: DataFrame, docs: DataFrame, key: str, text
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 75) -> DataFrame:
-    """Per row: id, n_shingles, component_id (smallest id reachable by links), kept (id = component_id)."""
-    threshold = percent / 100
-    every = common.written(sketches(docs, key, text, width), "sketches")
-    filled = every.where("n > 0")
-    classes = common.written(filled.groupBy("f1", "f2", "n").agg(F.min("id").alias("rep"), F.first("sketch").alias("sketch")), "classes")
-    bands = BUCKETS // ROWS
-    keys = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: F.xxhash64(i, F.substring(F.col("sketch"), i * (2 * ROWS) + 1, F.lit(2 * ROWS))))
-    banded = classes.select("rep", "n", F.posexplode(keys).alias("band", "key")).select("rep", "n", F.xxhash64("band", "key").alias("key"))
-    sizes_of = banded.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
-    shared = common.written(banded.join(sizes_of, "key"), "bands")
-    # The centre of a star: the class that meets the most others over all bands, as the origin of a group of copies does.
-    met = shared.groupBy("rep").agg(F.sum(F.col("members") - 1).alias("met"))
-    shared = common.written(shared.drop("members").join(met, "rep"), "bands")
-    sizes = classes.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
-    close = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent
-
-    def linked(pairs: DataFrame) -> DataFrame:
-        other = sizes.select(F.col("a").alias("b"), F.col("na").alias("nb"), F.col("sa").alias("sb"))
-        return confirmed(estimates(pairs.join(other, "b").join(sizes, "a").where(close), threshold), docs, key, text, width, percent)
-
-    starred = shared.join(shared.groupBy("key").agg(F.max_by("rep", F.struct("met", -F.col("rep"))).alias("pivot")), "key")
-    star = linked(starred.where("rep <> pivot").select(F.least("pivot", "rep").alias("a"), F.greatest("pivot", "rep").alias("b")).distinct())
-    label = common.components(star)
-    # What is left: buckets with classes that are not yet connected, without the centres, which have met all others there.
-    named = starred.where("rep <> pivot").join(label.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    open_keys = named.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("members")).where("lo < hi").select("key", "members")
-    rest = common.written(named.join(open_keys, "key").select("key", "members", "rep", "n", "component"), "rest")
-    if rest.head(1):
-        more = common.written(residue(rest, classes, docs, key, text, width, percent), "more")
-        label = common.components(star.unionAll(more)) if more.head(1) else label
-    members = every.select("id", "n", "f1", "f2").join(classes.select("f1", "f2", "n", "rep"), ["f1", "f2", "n"], "left")
-    return members.join(label.withColumnRenamed("node", "rep"), "rep", "left").select(
-        "id", F.col("n").alias("n_shingles"), (found := F.coalesce("component", "rep", "id")).alias("component_id"), (found == F.col("id")).alias("kept"))
+    """Per row: id, n_shingles, component_id (smallest id reachable by links), kept (id = component_id).
+
+    A written table; what was written on the way is removed."""
+    threshold, bands = percent / 100, BUCKETS // ROWS
+    with common.scratch() as own:
+        every = own.written(sketches(docs, key, text, width), "sketches")
+        classes = own.written(every.where("n > 0").groupBy("f1", "f2", "n").agg(F.min("id").alias("rep"), F.first("sketch").alias("sketch")), "classes")
+        keys = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: F.xxhash64(i, F.substring(F.col("sketch"), i * (2 * ROWS) + 1, F.lit(2 * ROWS))))
+        banded = classes.select("rep", "n", F.posexplode(keys).alias("band", "key")).select("rep", "n", F.xxhash64("band", "key").alias("key"))
+        # Joins on a band's key have one row per key on their other side, so Spark may split a hot key's rows.
+        sizes_of = banded.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
+        shared = own.written(banded.join(sizes_of, "key"), "bands")
+        # The centre of a star: the class that meets the most others over all bands, as the origin of a group of copies does.
+        met = shared.groupBy("rep").agg(F.sum(F.col("members") - 1).alias("met"))
+        bare, shared = shared, own.written(shared.drop("members").join(met, "rep"), "bands")
+        own.drop(bare)
+        sizes = classes.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
+        other = classes.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
+        close = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent
+        starred = own.written(shared.join(shared.groupBy("key").agg(F.max_by("rep", F.struct("met", -F.col("rep"))).alias("pivot")), "key").where("rep <> pivot").select("key", "pivot", "rep", "n"), "stars")
+        own.drop(shared)
+        pairs = starred.select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
+        near = estimates(pairs.join(sizes, "a").join(other, "b").where(close).select("a", "b", "na", "nb", "sa", "sb"), threshold)
+        star = confirmed(near, docs, key, text, width, percent)
+        label = common.components(star)
+        own.tables += [star, label]
+        # What is left: buckets with classes that are not yet connected, without the centres, which have met all others there.
+        named = starred.drop("pivot").join(label.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+        open_keys = named.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("members"), F.sum("n").alias("volume")).where("lo < hi").drop("lo", "hi")
+        rest = own.written(named.join(open_keys, "key").select("key", "members", "volume", "rep", "n", "component"), "rest")
+        if rest.head(1):
+            ids = own.written(rest.select(F.col("rep").alias("id")).distinct(), "ids")
+            sets = own.written(sets_of(ids, docs, key, text, width).withColumnRenamed("id", "rep").join(classes.select("rep", "sketch"), "rep"), "sets")
+            more = own.written(residue(rest, sets, percent), "more")
+            if more.head(1):
+                label = common.components(star.unionAll(more))
+                own.tables.append(label)
+        # Documents without shingles, however many, are not dealt by their common fingerprint.
+        members = every.where("n > 0").select("id", "n", "f1", "f2").join(classes.select("f1", "f2", "n", "rep"), ["f1", "f2", "n"]).join(label.withColumnRenamed("node", "rep"), "rep", "left")
+        found = members.select("id", "n", F.coalesce("component", "rep").alias("component_id")).unionAll(every.where("n = 0").select("id", "n", "id"))
+        return common.written(found.select("id", F.col("n").alias("n_shingles"), "component_id", (F.col("component_id") == F.col("id")).alias("kept")), "duplicates")
 
 
 def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -254,6 +270,24 @@ def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays: that with the smallest id."""
-    kept = common.written(near_duplicates(docs).where("not kept").select(F.col("id").alias("doc_id")), "dropped")
-    return docs.join(common.small(kept), "doc_id", "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
+    """One document of each group stays: that with the smallest id. Its other columns, whatever their names, stay too."""
+    found = near_duplicates(docs)
+    dropped = common.written(found.where("not kept").select(F.col("id").alias("__dropped")), "dropped")
+    common.forget(found)
+    return docs.join(common.small(dropped), F.col("doc_id") == F.col("__dropped"), "left_anti")
+
+
+#: All pairs of documents that share a shingle, compared on their full sets.
+SQL = rf"""
+WITH RECURSIVE said AS (SELECT doc_id, regexp_extract_all({common.LOWER_SQL}, '[^\x20\x09-\x0D]+') AS words FROM documents),
+sets AS MATERIALIZED (SELECT doc_id, list_distinct(CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 5 THEN [array_to_string(words, ' ')]
+           ELSE list_transform(generate_series(1, len(words) - 4), lambda i: array_to_string(words[i:i+4], ' ')) END) AS own FROM said),
+members AS MATERIALIZED (SELECT doc_id, min(doc_id) OVER (PARTITION BY md5(array_to_string(list_sort(own), chr(10)))) AS rep FROM sets WHERE len(own) > 0),
+shingles AS MATERIALIZED (SELECT m.rep, len(s.own) AS n, unnest(list_transform(s.own, lambda x: hash(x))) AS shingle FROM members m JOIN sets s USING (doc_id) WHERE m.rep = m.doc_id),
+links(a, b) AS MATERIALIZED (SELECT x.rep, y.rep FROM shingles x JOIN shingles y ON x.shingle = y.shingle AND x.rep < y.rep
+         GROUP BY x.rep, y.rep, x.n, y.n HAVING 100 * count(*) >= 75 * (x.n + y.n - count(*))
+         UNION SELECT rep, doc_id FROM members WHERE rep <> doc_id),
+{common.COMPONENTS_SQL}
+SELECT s.doc_id, len(s.own) AS n_shingles, coalesce(f.component, s.doc_id) AS component_id, coalesce(f.component, s.doc_id) = s.doc_id AS kept
+FROM sets s LEFT JOIN found f ON s.doc_id = f.node
+"""

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 
-#: Bytes of text that are worked on at once in a Python worker; a longer text is a batch of its own.
-BATCH_BYTES = 1 << 20
+#: Bytes and rows of text that are worked on at once in a Python worker; a longer text is a batch of its own.
+BATCH_BYTES, BATCH_ROWS = 1 << 20, 512
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -28,12 +28,12 @@ def powers(n: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
-def batches(ids: list, texts: list, limit: int = BATCH_BYTES) -> Iterator[tuple[list, list[bytes]]]:
-    """(ids, UTF-8 texts with A-Z lowered; a null is the empty text) in batches of about limit bytes."""
+def batches(ids: Iterable, texts: Iterable, limit: int = BATCH_BYTES, rows: int = BATCH_ROWS) -> Iterator[tuple[list, list[bytes]]]:
+    """(ids, UTF-8 texts with A-Z lowered; a null is the empty text) in batches of about limit bytes and rows texts at most."""
     some, have, size = [], [], 0
     for i, t in zip(ids, texts, strict=True):
         t = b"" if t is None else t.encode("utf-8", "surrogatepass").translate(_LOWER)
-        if have and size + len(t) > limit:
+        if have and (size + len(t) > limit or len(have) >= rows):
             yield some, have
             some, have, size = [], [], 0
         some.append(i)
