@@ -16,5 +16,5 @@ QUERIES = {
     "op9_boilerplate": boilerplate.op9_boilerplate,
     "op10_decontaminate": decontaminate.op10_decontaminate,
 }
-#: The rest have none: models, trees, sketches, archives and token ids are beyond SQL; tests hold them against brute force.
-SQL = {"op9_boilerplate": boilerplate.SQL}
+#: The rest have none: models, markup and token ids are beyond SQL; tests hold them against brute force.
+SQL = {"op4_warc": warc.SQL, "op6_covertree": covertree.SQL, "op7_minhash": minhash.SQL, "op8_licences": licences.SQL, "op9_boilerplate": boilerplate.SQL, "op10_decontaminate": decontaminate.SQL}
