@@ -16,9 +16,9 @@ from veiltab.streaming import marginals as streamed
 
 def test_domain():
     d = Domain.of({"a": 3, "b": 2, "c": 4})
-    assert d.size() == 24 and d.project(["c", "a"]).shape == (4, 3) and d.marginalize(["b"]).attrs == ("a", "c")
-    assert d.merge(Domain.of({"b": 2, "d": 5})).attrs == ("a", "b", "c", "d") and d.axes(["c"]) == (2,) and d.sort().attrs == ("b", "a", "c")
-    assert d.strides(["a", "b", "c"]) == (8, 4, 1) and d.canonical(["c", "a"]) == ("a", "c") and d.contains(d.project("b"))
+    assert d.size() == 24 and d.project(["c", "a"]).shape == (4, 3) and d.without(["b"]).attrs == ("a", "c")
+    assert (d | Domain.of({"b": 2, "d": 5})).attrs == ("a", "b", "c", "d") and d.places(["c"]) == (2,) and d.by_size().attrs == ("b", "a", "c")
+    assert d.strides(["a", "b", "c"]) == (8, 4, 1) and d.ordered(["c", "a"]) == ("a", "c") and list(d.project("b")) == ["b"]
 
 
 def test_accounting():

@@ -3,7 +3,6 @@ only tables of distinct values that were counted first are sent to executors."""
 
 from __future__ import annotations
 
-import bisect
 import math
 from collections.abc import Callable, Sequence
 
@@ -11,6 +10,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ranks import placed
+
 #: Columns of fewer distinct values are kept as they are; the others are binned.
 BINS, RARE_LABEL = 100, "R"
 #: Most rows of a value table that may be broadcast.
@@ -22,20 +23,9 @@ def lookup_join(df: DataFrame, table: DataFrame, on: str, rows: int) -> DataFram
 
 
 def ordinal(df: DataFrame, column: str) -> DataFrame:
-    """Rows (value, code): distinct values in order, from 0. Ranked by range partitions, so no task sees them all."""
+    """Rows (value, code): distinct values in order, from 0."""
     values = df.select(F.col(column).alias("value")).where("value is not null").distinct()
-    parts = values.repartitionByRange("value").select("value", F.spark_partition_id().alias("part"))
-    before = {r["part"]: r["count"] for r in parts.groupBy("part").count().collect()}  # a row per partition
-    starts, total = {}, 0
-    for p in sorted(before):
-        starts[p], total = total, total + before[p]
-    if not starts:
-        return values.select("value", F.lit(0).cast("int").alias("code"))
-    from pyspark.sql import Window
-
-    offset = F.create_map(*(F.lit(x) for pair in starts.items() for x in pair))
-    own = F.row_number().over(Window.partitionBy("part").orderBy("value")) - 1
-    return parts.select("value", (own + F.element_at(offset, F.col("part"))).cast("int").alias("code"))
+    return placed(values, "value").select("value", F.col("rank").cast("int").alias("code"))
 
 
 def ordinal_encoded(df: DataFrame, column: str, out: str) -> DataFrame:
@@ -45,10 +35,8 @@ def ordinal_encoded(df: DataFrame, column: str, out: str) -> DataFrame:
 
 def by_frequency(df: DataFrame, column: str) -> DataFrame:
     """Rows (value, code): values by falling count, ties by value."""
-    from pyspark.sql import Window
-
     counts = df.groupBy(F.col(column).alias("value")).agg(F.count(F.lit(1)).alias("n"))
-    return counts.select("value", "n", (F.row_number().over(Window.orderBy(F.desc("n"), "value")) - 1).alias("code"))
+    return placed(counts, F.desc("n"), F.col("value")).select("value", "n", F.col("rank").cast("int").alias("code"))
 
 
 def uniform_bin(x: Column, low: float, high: float, bins: int = BINS) -> Column:
@@ -178,23 +166,28 @@ def l1_partition(x: np.ndarray, epsilon: float, ratio: float, noise: Callable[[f
     """Buckets [a, b) of least noisy cost: a bucket costs its absolute deviation plus a charge for its own count.
 
     lengths "all" weighs every interval, "powers" those of power-of-two length. Deviations of growing intervals come
-    from a sorted list with running sums."""
+    from trees of counts and sums over the sorted values, so the work is n^2 log n."""
     n = len(x)
     e1, e2 = epsilon * ratio, epsilon * (1 - ratio)
     best, back = [0.0] + [math.inf] * n, [0] * (n + 1)
+    ordered = np.sort(np.asarray(x, float))
+    place = np.argsort(np.argsort(x, kind="stable"), kind="stable") + 1  # of each value among all, from 1
     for end in range(1, n + 1):
-        sizes = range(1, end + 1) if lengths == "all" else [1 << k for k in range(end.bit_length()) if 1 << k <= end]
-        have: list[float] = []
-        total = 0.0
-        wanted = set(sizes)
+        wanted = set(range(1, end + 1) if lengths == "all" else [1 << k for k in range(end.bit_length()) if 1 << k <= end])
+        counts, sums, total = [0] * (n + 1), [0.0] * (n + 1), 0.0  # binary indexed trees over the sorted values
         for size in range(1, max(wanted) + 1):
             v = float(x[end - size])
-            bisect.insort(have, v)
             total += v
+            at = int(place[end - size])
+            while at <= n:
+                counts[at] += 1
+                sums[at] += v
+                at += at & -at
             if size in wanted:
                 mean = total / size
-                k = bisect.bisect_right(have, mean)
-                low = math.fsum(have[:k])
+                at, k, low = int(np.searchsorted(ordered, mean, "right")), 0, 0.0
+                while at:
+                    k, low, at = k + counts[at], low + sums[at], at & (at - 1)
                 cost = 2 * (mean * k - low) if size > 1 else 0.0
                 cost += (noise(2 / e1) if e1 > 0 else 0.0) + 1 / e2
                 if best[end - size] + cost < best[end]:
@@ -220,9 +213,6 @@ PARTITIONS = {"l1partition": "all", "l1approx": "powers"}
 
 def equal_frequency(df: DataFrame, column: str, bins: int) -> DataFrame:
     """Rows (value, bin): a value's bin by the share of rows below the middle of its own."""
-    from pyspark.sql import Window
-
     counts = df.groupBy(F.col(column).alias("value")).agg(F.count(F.lit(1)).alias("n"))
-    upto = F.sum("n").over(Window.orderBy("value").rowsBetween(Window.unboundedPreceding, 0))
-    total = F.sum("n").over(Window.partitionBy())
-    return counts.select("value", F.least(F.floor((upto - F.col("n") / 2) * bins / total), F.lit(bins - 1)).cast("int").alias("bin"))
+    return placed(counts, "value", n="n").crossJoin(F.broadcast(df.agg(F.count(F.lit(1)).alias("__total")))).select(
+        "value", F.least(F.floor((F.col("before") + F.col("n") / 2) * bins / F.col("__total")), F.lit(bins - 1)).cast("int").alias("bin"))

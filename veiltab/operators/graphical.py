@@ -44,13 +44,13 @@ class Factor:
     def to(self, domain: Domain) -> np.ndarray:
         """values shaped so that they broadcast over a domain that contains this one."""
         order = [a for a in domain.attrs if a in self.domain]
-        out = self.values.transpose(self.domain.axes(order)) if order else self.values
+        out = self.values.transpose(self.domain.places(order)) if order else self.values
         return out.reshape([domain[a] if a in self.domain else 1 for a in domain.attrs])
 
     def _with(self, other: Factor | float, op: Callable) -> Factor:
         if not isinstance(other, Factor):
             return Factor(self.domain, op(self.values, other))
-        whole = self.domain.merge(other.domain)
+        whole = self.domain | other.domain
         return Factor(whole, op(self.to(whole), np.broadcast_to(other.to(whole), whole.shape)))
 
     def __add__(self, other):
@@ -67,10 +67,10 @@ class Factor:
         return Factor(self.domain, np.exp(self.values))
 
     def _down(self, attrs: Sequence[str], reduce: Callable[[np.ndarray, tuple[int, ...]], np.ndarray]) -> Factor:
-        gone = self.domain.marginalize(attrs)
-        kept = self.domain.marginalize(gone.attrs)
-        out = Factor(kept, np.asarray(reduce(self.values, self.domain.axes(gone.attrs))))
-        return Factor(self.domain.project(attrs), out.values.transpose(kept.axes(attrs)) if attrs else out.values)
+        gone = self.domain.without(attrs)
+        kept = self.domain.without(gone.attrs)
+        out = Factor(kept, np.asarray(reduce(self.values, self.domain.places(gone.attrs))))
+        return Factor(self.domain.project(attrs), out.values.transpose(kept.places(attrs)) if attrs else out.values)
 
     def project(self, attrs: Sequence[str]) -> Factor:
         return self._down(tuple(attrs), lambda v, axes: v.sum(axis=axes))
@@ -88,7 +88,7 @@ class Factor:
 
     def condition(self, evidence: dict[str, int]) -> Factor:
         place = tuple(evidence.get(a, slice(None)) for a in self.domain.attrs)
-        return Factor(self.domain.marginalize(evidence), np.asarray(self.values[place]))
+        return Factor(self.domain.without(evidence), np.asarray(self.values[place]))
 
 
 def elimination(domain: Domain, cliques: Sequence[Clique]) -> tuple[list[str], list[Clique]]:
@@ -100,8 +100,8 @@ def elimination(domain: Domain, cliques: Sequence[Clique]) -> tuple[list[str], l
             near[b].add(a)
     order, made, left = [], [], set(domain.attrs)
     while left:
-        a = min(left, key=lambda x: (domain.size(near[x]) * domain[x], domain.axes((x,))))
-        made.append(domain.canonical({a, *near[a]}))
+        a = min(left, key=lambda x: (domain.size(near[x]) * domain[x], domain.places((x,))))
+        made.append(domain.ordered({a, *near[a]}))
         for b, c in combinations(near[a], 2):
             near[b].add(c)
             near[c].add(b)
@@ -163,13 +163,13 @@ def propagated(tree: JunctionTree, potentials: dict[Clique, Factor]) -> tuple[di
         for c in tree.near[a]:
             if c != b:
                 belief = belief + sent[(c, a)]
-        sent[(a, b)] = belief.log_project(tree.domain.canonical(set(a) & set(b)))
+        sent[(a, b)] = belief.log_project(tree.domain.ordered(set(a) & set(b)))
     out = {}
     for c in tree.cliques:
         belief = potentials[c]
         for d in tree.near[c]:
             belief = belief + sent[(d, c)]
-        out[c] = Factor(belief.domain.project(c), belief.values.transpose(belief.domain.axes(c)))
+        out[c] = Factor(belief.domain.project(c), belief.values.transpose(belief.domain.places(c)))
     log_z = float(out[tree.cliques[0]].log_project(()).values)
     return {c: f - log_z for c, f in out.items()}, log_z
 
@@ -222,7 +222,7 @@ class Model:
                 joint = joint + f
             if joint.domain.size() > MOST_CELLS:
                 raise ValueError(f"the marginal of {attrs} needs a table of {joint.domain.size()} cells")
-            factors = [f for f in factors if a not in f.domain] + [joint.log_project(joint.domain.marginalize([a]).attrs)]
+            factors = [f for f in factors if a not in f.domain] + [joint.log_project(joint.domain.without([a]).attrs)]
         out = Factor.zeros(self.tree.domain.project(attrs))
         for f in factors:
             out = out + f

@@ -26,12 +26,12 @@ def dedupe(labels: Sequence[str]) -> dict[str, str]:
 
 def map_categories(column: Column, keep: Sequence[str], token: str | None = OTHER_TOKEN) -> Column:
     """A kept label in its canonical spelling; anything else becomes token (None: stays)."""
-    lookup = dedupe(keep)
+    lookup = {x.strip().lower(): x for x in dedupe(keep).values()}  # as the column is folded: a map has no key twice
     value = canonical(column)
-    folded = F.lower(F.trim(value))
+    folded = F.lower(F.trim(value))  # labels are folded by the same function, so that no letter parts ways
     if not lookup:
         return F.lit(token) if token is not None else value
-    table = F.create_map(*(F.lit(x) for pair in lookup.items() for x in pair))
+    table = F.create_map(*(x for label in lookup.values() for x in (F.lower(F.trim(F.lit(label))), F.lit(label))))
     return F.coalesce(F.get(F.array(F.try_element_at(table, folded)), F.lit(0)), F.lit(token) if token is not None else value)
 
 
@@ -46,7 +46,7 @@ def final_categories(selected: Sequence[str], custom: Sequence[str], token: str
 
 def excluded(df: DataFrame, column: str, selected: Sequence[str]) -> DataFrame:
     """Categories of the data that were not selected."""
-    return df.select(canonical(F.col(column)).alias("value")).distinct().where(~F.lower("value").isin([x.casefold() for x in selected]))
+    return df.select(canonical(F.col(column)).alias("value")).distinct().where(~F.lower(F.trim("value")).isin([F.lower(F.trim(F.lit(x))) for x in selected]))
 
 
 def clip(column: Column, low: float, high: float) -> Column:
@@ -78,6 +78,8 @@ def bin_edges(low: float, high: float, how: str = "uniform", count: int = 10, wi
             edges.append(edges[-1] + (high - low) * p / total)
         edges[-1] = high
         return edges
+    if how != "uniform":
+        raise InvalidBinning(f"no binning {how!r}; there are uniform and exponential, and dp_privtree for a column's data (preprocess.privtree_edges)")
     return [low + (high - low) * i / count for i in range(count)] + [high]
 
 
@@ -103,8 +105,12 @@ def enforce_schema(df: DataFrame, schema: T.StructType) -> DataFrame:
     names = df.columns if set(schema.names) - set(df.columns) and len(df.columns) == len(schema) else schema.names
     out = []
     for have, f in zip(names, schema.fields, strict=True):
-        c = F.col(f"`{have}`").cast("string")
-        whole = isinstance(f.dataType, (T.ByteType, T.ShortType, T.IntegerType, T.LongType))
-        value = F.coalesce(F.rint(c.try_cast("double")), F.lit(0.0)).cast(f.dataType) if whole else c.try_cast(f.dataType.simpleString())
+        raw, wholes = F.col(f"`{have}`"), (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
+        c, kind = raw.cast("string"), f.dataType.simpleString()
+        if isinstance(f.dataType, wholes):  # whole numbers never go through a double, which holds 53 bits of them
+            near = (raw if isinstance(df.schema[have].dataType, wholes) else F.coalesce(c.try_cast("bigint"), F.rint(c.try_cast("double")).try_cast("bigint"))).try_cast(kind)
+            value = F.coalesce(near, F.lit(0).cast(f.dataType))
+        else:
+            value = c.try_cast(kind)
         out.append(value.alias(f.name))
     return df.select(*out)

@@ -25,7 +25,7 @@ class Cells:
         self.strides, self.starts, wanted = [], [], []
         for name in self.names:
             row = np.zeros(len(domain), np.int64)
-            row[list(domain.axes(name))] = domain.strides(name)
+            row[list(domain.places(name))] = domain.strides(name)
             self.strides.append(row)
             self.starts.append(at)
             v = np.maximum(np.asarray(margins[name], float).ravel(), 0)

@@ -66,7 +66,7 @@ def combined(domain: Domain, pairs: list[tuple[str, ...]], most_cells: int = 500
     chosen, used, covered = [], set(), set()
     for c in sorted((c for c in cliques(domain.attrs, edges) if len(c) > 2), key=lambda c: (-len(c), c)):
         if len(used & set(c)) <= most_used and domain.size(c) < most_cells:
-            chosen.append(domain.canonical(c))
+            chosen.append(domain.ordered(c))
             used |= set(c)
             covered |= {frozenset(p) for p in combinations(c, 2)}
     return chosen + [p for p in pairs if frozenset(p) not in covered]

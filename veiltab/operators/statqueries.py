@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranks import placed
+
 
 def share(df: DataFrame, queries: dict[str, Column]) -> DataFrame:
     """Rows (query, answer): the share of rows for which each predicate holds, in one pass."""
@@ -60,17 +62,19 @@ def conditional(df: DataFrame, features: Sequence[str], target: str) -> DataFram
 
 
 def prefix_sums(counts: DataFrame, attr: str) -> DataFrame:
-    return counts.withColumn("prefix", F.sum("n").over(Window.orderBy(attr).rowsBetween(Window.unboundedPreceding, 0)))
+    return placed(counts, attr, n="n").withColumn("prefix", F.col("before") + F.col("n")).drop("rank", "before")
 
 
 def suffix_sums(counts: DataFrame, attr: str) -> DataFrame:
-    return counts.withColumn("suffix", F.sum("n").over(Window.orderBy(attr).rowsBetween(0, Window.unboundedFollowing)))
+    whole = F.broadcast(counts.agg(F.sum("n").alias("__total")))
+    return placed(counts, attr, n="n").crossJoin(whole).withColumn("suffix", F.col("__total") - F.col("before")).drop("rank", "before", "__total")
 
 
 def width_sums(counts: DataFrame, attr: str, width: int) -> DataFrame:
-    """Sums of `width` neighbouring cells, where so many follow."""
-    w = Window.orderBy(attr).rowsBetween(0, width - 1)
-    return counts.select(attr, F.sum("n").over(w).alias("total"), F.count(F.lit(1)).over(w).alias("cells")).where(F.col("cells") == width).drop("cells")
+    """Sums of `width` neighbouring cells, where so many follow: differences of running sums."""
+    rows = placed(counts, attr, n="n")
+    last = rows.select((F.col("rank") - (width - 1)).alias("rank"), (F.col("before") + F.col("n")).alias("__upto"))
+    return rows.join(last, "rank").select(attr, (F.col("__upto") - F.col("before")).alias("total"))
 
 
 def all_ranges(counts: DataFrame, attr: str) -> DataFrame:
@@ -104,8 +108,8 @@ def class_weights(df: DataFrame, label: str) -> DataFrame:
 def distribution_rank(df: DataFrame, column: str) -> DataFrame:
     """Rows (value, cume_dist): the share of rows at or below each value, from its counts."""
     counts = df.groupBy(F.col(column).alias("value")).agg(F.count(F.lit(1)).alias("n"))
-    upto = F.sum("n").over(Window.orderBy("value").rowsBetween(Window.unboundedPreceding, 0))
-    return counts.select("value", (upto / F.sum("n").over(Window.partitionBy())).alias("cume_dist"))
+    total = F.broadcast(df.agg(F.count(F.lit(1)).alias("__total")))
+    return placed(counts, "value", n="n").crossJoin(total).select("value", ((F.col("before") + F.col("n")) / F.col("__total")).alias("cume_dist"))
 
 
 def mmd_linear(x: DataFrame, y: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -8,9 +8,15 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .ranks import in_cells
+
+
+#: Of the permutation of row ids.
+ROUNDS = 32
+
 
 def whole_counts(shares: np.ndarray, n: int) -> np.ndarray:
     """n split by shares into whole numbers of exactly that sum: differences of rounded running sums."""
@@ -47,12 +53,16 @@ def initial_records(spark: SparkSession, n: int, one_way: dict[str, np.ndarray],
 
 
 def place_of(n: int, salt: int) -> Column:
-    """A permutation of row ids 0 .. n-1 without sorting: multiplication by a unit modulo n, and a shift."""
-    step = int(0.6180339887498949 * n) | 1
-    step += 2 * (salt % 7)
-    while np.gcd(step, n) != 1:
-        step += 1
-    return F.pmod(F.col("row_id") * F.lit(step % max(n, 1) or 1) + F.lit((salt * 7919) % max(n, 1)), F.lit(n))
+    """A keyed permutation of row ids 0 .. n-1 without sorting: rounds of swap-or-not (Hoang, Morris and Rogaway 2012).
+
+    A round pairs each x with its mirror key - x modulo n and swaps the two or not, by a hash of the larger."""
+    keys = F.array(*(F.lit(int(k)) for k in np.random.default_rng(salt).integers(0, max(n, 1), ROUNDS)))
+
+    def swapped(x: Column, key: Column) -> Column:
+        mirror = F.pmod(key - x, F.lit(n))
+        return F.when(F.xxhash64(F.greatest(x, mirror), key, F.lit(salt)).bitwiseAND(F.lit(1)) == 1, mirror).otherwise(x)
+
+    return F.aggregate(keys, F.col("row_id"), swapped)
 
 
 def independent(spark: SparkSession, n: int, sizes: dict[str, int], seed: int = 0) -> DataFrame:
@@ -73,8 +83,7 @@ def append_attribute(df: DataFrame, anchors: Sequence[str], attr: str, joint: np
     cell: Column = F.lit(0).cast("long")
     for a, s in zip(anchors, sizes, strict=True):
         cell = cell * s + F.col(a)
-    w = Window.partitionBy("__cell").orderBy(F.xxhash64("row_id", F.lit(seed)), "row_id")
-    ranked = df.withColumn("__cell", cell).withColumn("__rank", F.row_number().over(w)).withColumn("__size", F.count(F.lit(1)).over(Window.partitionBy("__cell")))
+    ranked = in_cells(df.withColumn("__cell", cell), "__cell", "row_id", seed)
     code = F.size(F.filter("__upto", lambda u: F.rint(u * F.col("__size")) < F.col("__rank")))
     out = ranked.join(F.broadcast(table), "__cell").withColumn(attr, F.least(code, F.lit(joint.shape[1] - 1)).cast("int"))
     return out.drop("__cell", "__rank", "__size", "__upto")
@@ -126,8 +135,7 @@ def updated(records: DataFrame, attrs: Sequence[str], sizes: Sequence[int], targ
     for c, n in frees.items():
         start[c], at = at, at + n
     table = records.sparkSession.createDataFrame([(c, n, start[c]) for c, n in frees.items()], "__cell long, __free long, __start long")
-    rank = F.row_number().over(Window.partitionBy("__cell").orderBy(F.xxhash64("row_id", F.lit(seed)), "row_id"))
-    marked = coded.join(F.broadcast(table), "__cell", "left").withColumn("__rank", rank)
+    marked = in_cells(coded, "__cell", "row_id", seed).join(F.broadcast(table), "__cell", "left")
     freed = F.col("__rank") <= F.coalesce("__free", F.lit(0))
     wanted = np.repeat(np.arange(len(add)), add)[:total]
     ends = np.flatnonzero(np.diff(np.concatenate((wanted, [-1])))) + 1  # runs of equal wanted cells

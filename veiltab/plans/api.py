@@ -16,6 +16,7 @@ from ..functions import noise
 from ..functions.domain import Domain
 from ..functions.privacy import Ledger, PrivacySpec, gaussian_sigma
 from ..operators import consistency, encode, graphical, search, select, synth
+from ..operators.infer import NULL_TOKEN, OTHER_TOKEN
 from ..operators.marginals import all_marginals
 from ..operators.overrides import enforce_schema
 
@@ -51,7 +52,8 @@ def synthesize(method: str, df: DataFrame, kinds: dict[str, dict], privacy: Priv
 
 @dataclass
 class Codes:
-    """Codes of a table under public metadata, and back; expressions only."""
+    """Codes of a table under public metadata, and back; expressions only. A value that is no category counts as the
+    token for others if that is one, and is an error if not."""
 
     kinds: dict[str, dict]
 
@@ -63,8 +65,10 @@ class Codes:
         out: list[Column] = []
         for c, k in self.kinds.items():
             if k["type"] == "categorical":
-                known = F.array(*(F.lit(str(v)) for v in k["categories"]))
-                out.append(F.greatest(F.array_position(known, F.coalesce(F.col(c).cast("string"), F.lit("__NULL__"))) - 1, F.lit(0)).cast("int").alias(c))
+                labels = [str(v) for v in k["categories"]]
+                at = F.nullif(F.array_position(F.array(*map(F.lit, labels)), F.coalesce(F.col(c).cast("string"), F.lit(NULL_TOKEN))), F.lit(0)) - 1
+                unknown = F.lit(labels.index(OTHER_TOKEN)) if OTHER_TOKEN in labels else F.raise_error(F.concat(F.lit(f"{c} has a value that is no category: "), F.coalesce(F.col(c).cast("string"), F.lit("null"))))
+                out.append(F.coalesce(at, unknown).cast("int").alias(c))
             else:
                 x = F.coalesce(F.col(c).cast("double"), F.lit(float(k["min"])))
                 out.append(encode.uniform_bin(x, float(k["min"]), float(k["max"]), k.get("bins", 32)).alias(c))
@@ -106,7 +110,7 @@ def counted(coded: DataFrame, domain: Domain, ways: tuple[int, ...]) -> dict[tup
     """Tables of counts of all marginals of those sizes, from one pass; what comes to the driver has a row per cell."""
     counts = {key: np.zeros(domain.project(key).shape) for k in ways for key in combinations(domain.attrs, k)}
     for r in all_marginals(coded, list(domain.attrs), ways).collect():
-        key = domain.canonical(r["marginal"].split(","))
+        key = domain.ordered(r["marginal"].split(","))
         counts[key][tuple(int(r[a]) for a in key)] = r["n"]
     return counts
 

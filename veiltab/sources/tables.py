@@ -52,7 +52,7 @@ def metadata(df: DataFrame) -> tuple[dict, dict]:
     domain, found = {}, infer(df)
     for c in found:
         if c.kind == "categorical":
-            counts = {r["value"]: r["n"] for r in value_counts(df, c.name).collect()}
+            counts = {r["value"]: r["n"] for r in value_counts(df, c.name, None).collect()}  # the domain has every category
             domain[c.name] = {"type": c.kind, "size": c.size, "categories": list(counts), "value_counts": counts}
         else:
             low, high, mean, std = df.agg(F.min(c.name), F.max(c.name), F.avg(c.name), F.stddev_samp(c.name)).first()
