@@ -5,6 +5,7 @@ Records drawn from a model are a DataFrame again: a column at a time from condit
 
 from __future__ import annotations
 
+import json
 import math
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
@@ -254,6 +255,20 @@ class Model:
             have.append(a)
         return records.select("row_id", *self.tree.domain.attrs)
 
+    def save(self, path: str) -> None:
+        """The tree and its potentials as JSON: small tables of cells."""
+        body = {"sizes": dict(self.tree.domain.sizes), "cliques": [list(c) for c in self.tree.cliques], "total": self.total, "potentials": [[list(c), f.values.tolist()] for c, f in self.potentials.items()]}
+        with open(path, "w", encoding="utf-8") as f:
+            json.dump(body, f)
+
+    @classmethod
+    def load(cls, path: str) -> Model:
+        with open(path, encoding="utf-8") as f:
+            body = json.load(f)
+        domain = Domain(body["sizes"])
+        tree = JunctionTree(domain, [tuple(c) for c in body["cliques"]])
+        return cls(tree, {tuple(c): Factor(domain.project(c), np.array(v, float)) for c, v in body["potentials"]}, body["total"])
+
     def error(self, measurements: Sequence[Measurement]) -> float:
         """Squared error against measurements, in their variances."""
         return sum(float((_answers(self.project(m.clique).values, m) ** 2).sum()) / 2 for m in measurements)

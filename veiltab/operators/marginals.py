@@ -8,10 +8,11 @@ from __future__ import annotations
 from collections.abc import Iterable, Sequence
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import noise
+from .infer import NULL_TOKEN
 
 #: Most grouping sets of one scan: rows are multiplied by their number before the partial sums.
 SETS = 64
@@ -85,19 +86,18 @@ def indif(df: DataFrame, a: str, b: str) -> Column | DataFrame:
 
 
 def indif_pairs(df: DataFrame, attrs: Sequence[str]) -> DataFrame:
-    """Rows (a, b, indif, num_cells) for all pairs, from one pass of grouping sets."""
-    counts = all_marginals(df.select(*(F.col(x).cast("string").alias(x) for x in attrs)), attrs, (1, 2))
-    out = None
-    for a, b in combinations(attrs, 2):
-        joint = counts.where(F.col("marginal") == f"{a},{b}").select(F.col(a).alias("va"), F.col(b).alias("vb"), "n")
-        one = counts.where(F.col("marginal") == a).select(F.col(a).alias("va"), F.col("n").alias("na"))
-        two = counts.where(F.col("marginal") == b).select(F.col(b).alias("vb"), F.col("n").alias("nb"))
-        total = one.agg(F.sum("na").alias("total"))
-        cells = one.crossJoin(two).join(joint, ["va", "vb"], "left").fillna(0, ["n"]).crossJoin(F.broadcast(total))
-        row = cells.agg(F.sum(F.abs(F.col("n") - F.col("na") * F.col("nb") / F.col("total"))).alias("indif"), F.count(F.lit(1)).alias("num_cells"))
-        row = row.select(F.lit(a).alias("a"), F.lit(b).alias("b"), "indif", "num_cells")
-        out = row if out is None else out.unionAll(row)
-    return out
+    """Rows (a, b, indif, num_cells) for all pairs, from one scan for the cells and a count of the rows.
+
+    Cells that no row has add na * nb / total each, in sum the total less what the cells that are there expect: so the
+    grid is never made."""
+    text = [F.coalesce(F.col(x).cast("string"), F.lit(NULL_TOKEN)).alias(x) for x in attrs]
+    pairs = F.explode(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(a).alias("va"), F.col(b).alias("vb")) for a, b in combinations(attrs, 2))))
+    records = df.select(*text).groupBy(*attrs).agg(F.count(F.lit(1)).alias("n"))
+    cells = records.select("n", pairs.alias("p")).groupBy("p").agg(F.sum("n").alias("n")).select("p.*", "n")
+    cells = cells.withColumn("na", F.sum("n").over(Window.partitionBy("a", "b", "va"))).withColumn("nb", F.sum("n").over(Window.partitionBy("a", "b", "vb")))
+    cells = cells.crossJoin(F.broadcast(df.agg(F.count(F.lit(1)).alias("total")))).withColumn("expected", F.col("na") * F.col("nb") / F.col("total"))
+    return cells.groupBy("a", "b").agg(
+        (F.sum(F.abs(F.col("n") - F.col("expected")) - F.col("expected")) + F.first("total")).alias("indif"), (F.count_distinct("va") * F.count_distinct("vb")).alias("num_cells"))
 
 
 def entropy(df: DataFrame, attrs: Sequence[str]) -> DataFrame:
@@ -112,7 +112,7 @@ def mutual_information(df: DataFrame, a: str, b: str) -> DataFrame:
 
 def pair_tvd(df: DataFrame, a: str, b: str) -> DataFrame:
     """Half the distance from independence, as a share of the rows."""
-    return indif(df, a, b).select((F.col("indif") / (2.0 * F.lit(df.count()))).alias("tvd"))
+    return indif(df, a, b).crossJoin(F.broadcast(df.agg(F.count(F.lit(1)).alias("rows")))).select((F.col("indif") / (2.0 * F.col("rows"))).alias("tvd"))
 
 
 def l1_distance(x: DataFrame, y: DataFrame, attrs: Sequence[str]) -> DataFrame:

@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterable, Sequence
 from itertools import combinations
 
 import numpy as np
+from pyspark.sql import DataFrame
 
 from ..functions.domain import Domain
 
@@ -30,6 +31,16 @@ def greedy_pairs(scores: dict[tuple[str, str], float], cells: dict[tuple[str, st
     return chosen
 
 
+def two_way(df: DataFrame, domain: Domain, rho_score: float, rho_measure: float, rng: np.random.Generator) -> list[tuple[str, ...]]:
+    """Pairs of a coded table that are worth measuring with rho_measure, chosen from dependency scores noised with rho_score."""
+    from .marginals import indif_pairs
+
+    pairs = [(a, b) for k, a in enumerate(domain.attrs) for b in domain.attrs[k + 1 :]]
+    found = {domain.ordered((r["a"], r["b"])): float(r["indif"]) for r in indif_pairs(df, list(domain.attrs)).collect()}  # a row per pair
+    scores = {p: found[p] + rng.normal(0, np.sqrt(8 * len(pairs) / rho_score)) for p in pairs}
+    return greedy_pairs(scores, {p: domain.size(p) for p in pairs}, rho_measure)
+
+
 def with_isolated(attrs: Sequence[str], pairs: list[tuple[str, ...]], scores: dict[tuple[str, str], float], connect: bool = True) -> list[tuple[str, ...]]:
     """Attributes in no pair get their strongest partner, or stand alone."""
     out = list(pairs)

@@ -151,14 +151,28 @@ def updated(records: DataFrame, attrs: Sequence[str], sizes: Sequence[int], targ
     return out.select(*records.columns)
 
 
-def gradual_update(records: DataFrame, sizes: dict[str, int], margins: dict[tuple[str, ...], np.ndarray], iterations: int = 5, schedule: str = "U4", seed: int = 0, progress: Callable[[int, float], None] | None = None) -> DataFrame:
-    """Rounds over all marginals; lineage is cut by a written table each round, in the folder that executors share."""
-    from ..plans.tables import written
+def gradual_update(records: DataFrame, sizes: dict[str, int], margins: dict[tuple[str, ...], np.ndarray], iterations: int = 5, schedule: str = "U4", seed: int = 0, worst_first: bool = False, errors: list[dict] | None = None, progress: Callable[[int, float], None] | None = None) -> DataFrame:
+    """Rounds over all marginals; lineage is cut by a written table each round, in the folder that executors share.
 
+    worst_first: in each round those of largest error first. errors: gets the L1 error of each before each round."""
+    from ..plans.tables import forget, written
+    from .gum import by_error
+
+    last = None
     for i in range(iterations):
-        for k, (attrs, target) in enumerate(margins.items()):
+        order = list(margins)
+        if worst_first or errors is not None:
+            found = by_error(records, sizes, margins)
+            order = [c for c, _ in found] if worst_first else order
+            if errors is not None:
+                errors += [{"round": i, "marginal": c, "error": e} for c, e in found]
+        for k, attrs in enumerate(order):
+            target = margins[attrs]
             records = updated(records, attrs, [sizes[a] for a in attrs], target, alpha_schedule(schedule, i), seed + 1000 * i + k)
-        records = written(records, "records")
+        records, before = written(records, "records"), last
+        last = records
+        if before is not None:
+            forget(before)
         if progress:
             progress(i + 1, (i + 1) / iterations)
     return records

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import noise
-from .operators import encode, evaluate, hierarchy, infer, marginals, overrides, statqueries
+from .operators import encode, evaluate, hierarchy, infer, marginals, measures, overrides, preprocess, statqueries
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -238,3 +238,67 @@ add("tvd_kway", _kway_tvd_sql((1, 2, 3)), "lineitem")(lambda df: rounded(evaluat
 add("answer_errors", "WITH g AS (SELECT abs(x.p - y.p) AS e FROM (SELECT l_linenumber AS v, count(*) / (SELECT count(*) FROM lineitem WHERE l_orderkey % 2 = 0)::DOUBLE AS p FROM lineitem WHERE l_orderkey % 2 = 0 GROUP BY 1) x JOIN "
     "(SELECT l_linenumber AS v, count(*) / (SELECT count(*) FROM lineitem WHERE l_orderkey % 2 = 1)::DOUBLE AS p FROM lineitem WHERE l_orderkey % 2 = 1 GROUP BY 1) y ON x.v = y.v) SELECT round(max(e), 6) AS max_error, round(avg(e), 6) AS mean_error, round(median(e), 6) AS median_error, round(avg(e * e), 8) AS mean_squared FROM g", "lineitem")(
     lambda df: rounded(rounded(evaluate.answer_errors(*(marginals.normalized(marginals.marginal(h, ["l_linenumber"])).select(F.col("l_linenumber").alias("query"), F.col("p").alias("answer")) for h in _halves(df))), "max_error", "mean_error", "median_error"), "mean_squared", places=8))
+
+
+# Fitted preprocessing, without noise so that SQL can follow it.
+
+
+def _prepared(df: DataFrame, **more: object) -> preprocess.Preprocessor:
+    return preprocess.Preprocessor({"l_extendedprice": (900.0, 105000.0), "l_quantity": (1.0, 50.0)}, ["l_returnflag", "l_partkey"], threshold=0.0006, **more).fit(df)
+
+
+_KEPT = "(SELECT l_partkey::VARCHAR AS value, count(*) AS n FROM lineitem GROUP BY 1)"
+_CODES = f"""
+WITH total AS (SELECT count(*) AS t, count(DISTINCT l_partkey) AS d FROM lineitem), counts AS {_KEPT},
+marked AS (SELECT value, d >= 100 AND n <= t * 0.0006 AS merged FROM counts, total),
+kept AS (SELECT value, row_number() OVER (ORDER BY value) - 1 AS code FROM marked WHERE NOT merged),
+quantities AS (SELECT l_quantity, row_number() OVER (ORDER BY l_quantity) - 1 AS code FROM (SELECT DISTINCT l_quantity FROM lineitem)),
+flags AS (SELECT l_returnflag, row_number() OVER (ORDER BY l_returnflag) - 1 AS code FROM (SELECT DISTINCT l_returnflag FROM lineitem))
+"""
+add("preprocess_codes", _CODES + """SELECT l_orderkey, l_linenumber, CAST(greatest(0, least(floor((l_extendedprice - 900.0) / 1041.0), 99)) AS INTEGER) AS l_extendedprice, CAST(q.code AS INTEGER) AS l_quantity,
+CAST(f.code AS INTEGER) AS l_returnflag, CAST(coalesce(k.code, (SELECT count(*) FROM kept)) AS INTEGER) AS l_partkey
+FROM lineitem l JOIN quantities q ON l.l_quantity = q.l_quantity JOIN flags f ON l.l_returnflag = f.l_returnflag LEFT JOIN kept k ON l.l_partkey::VARCHAR = k.value""", "lineitem")(
+    lambda df: _prepared(df).transform(df).select("l_orderkey", "l_linenumber", "l_extendedprice", "l_quantity", "l_returnflag", "l_partkey"))
+add("preprocess_round_trip", "SELECT l_returnflag, l_quantity::VARCHAR AS l_quantity, count(*) AS n FROM lineitem GROUP BY 1, 2", "lineitem")(
+    lambda df: (lambda p: p.inverse(p.transform(df).withColumn("row_id", F.monotonically_increasing_id())))(_prepared(df)).groupBy("l_returnflag", F.col("l_quantity").cast("string").alias("l_quantity")).agg(F.count("*").alias("n")))
+add("rare_categories", _CODES + "SELECT m.value, CAST(coalesce(k.code, (SELECT count(*) FROM kept)) AS INTEGER) AS code, m.merged FROM marked m LEFT JOIN kept k ON m.value = k.value", "lineitem")(
+    lambda df: _prepared(df).coded["l_partkey"].values)
+add("clipped_codes", "SELECT l_orderkey, l_linenumber, greatest(0, least(l_linenumber - 3, 2)) AS code FROM lineitem", "lineitem")(lambda df: df.select("l_orderkey", "l_linenumber", preprocess.clipped(F.col("l_linenumber") - 3, 3).alias("code")))
+add("angles", "SELECT o_orderkey, round(o_totalprice / 654321.0 * pi(), 6) AS angle FROM orders", "orders")(lambda df: df.select("o_orderkey", F.round(preprocess.to_angle(F.col("o_totalprice"), 0.0, 654321.0), 6).alias("angle")))
+
+# Statistics over many marginals.
+
+_FINE = "CAST(greatest(0, least(floor((l_quantity - 1.0) / (49.0 / 32)), 31)) AS INTEGER)"
+_MULTI = " UNION ALL ".join(
+    [f"SELECT 'l_returnflag' AS first, 'l_quantity' AS second, {b} AS bins, l_returnflag AS a, CAST(floor({_FINE} * {b} / 32.0) AS BIGINT)::VARCHAR AS b, count(*) AS n FROM lineitem GROUP BY ALL" for b in (2, 8, 32)]
+    + ["SELECT 'l_returnflag', 'l_linestatus', 0, l_returnflag, l_linestatus, count(*) FROM lineitem GROUP BY ALL"]
+    + [f"SELECT 'l_linestatus', 'l_quantity', {b}, l_linestatus, CAST(floor({_FINE} * {b} / 32.0) AS BIGINT)::VARCHAR, count(*) FROM lineitem GROUP BY ALL" for b in (2, 8, 32)])
+add("multiresolution", _MULTI, "lineitem")(lambda df: measures.multiresolution(df, ["l_returnflag", "l_linestatus"], {"l_quantity": (1.0, 50.0)}, (2, 8, 32)))
+add("count_matrix", "SELECT l_returnflag, " + ", ".join(f"count(*) FILTER (WHERE l_linenumber = {k + 1}) AS c{k}" for k in range(7)) + " FROM lineitem GROUP BY 1", "lineitem")(
+    lambda df: measures.count_matrix(df, "l_returnflag", "l_linenumber", range(1, 8)))
+add("record_count", "SELECT count(*) AS record_count FROM lineitem", "lineitem")(measures.record_count)
+
+
+def _answers(df: DataFrame) -> DataFrame:
+    out = None
+    for name in ("l_linenumber", "l_returnflag"):
+        part = marginals.normalized(marginals.marginal(df, [name])).select(F.lit(name).alias("workload"), F.col(name).cast("string").alias("query"), F.col("p").alias("answer"))
+        out = part if out is None else out.unionAll(part)
+    return out
+
+
+def _answer_sql(odd: int) -> str:
+    return " UNION ALL ".join(f"SELECT '{c}' AS workload, {c}::VARCHAR AS query, count(*) / (SELECT count(*) FROM lineitem WHERE l_orderkey % 2 = {odd})::DOUBLE AS answer FROM lineitem WHERE l_orderkey % 2 = {odd} GROUP BY 2" for c in ("l_linenumber", "l_returnflag"))
+
+
+_ERRORS = f"""SELECT workload, max(abs(coalesce(x.answer, 0) - coalesce(y.answer, 0))) AS max_error, avg((coalesce(x.answer, 0) - coalesce(y.answer, 0)) ** 2) AS mean_squared
+FROM ({_answer_sql(0)}) x FULL JOIN ({_answer_sql(1)}) y USING (workload, query) GROUP BY workload"""
+add("workload_errors", f"SELECT workload, round(max_error, 6) AS max_error, round(mean_squared, 9) AS mean_squared FROM ({_ERRORS})", "lineitem")(
+    lambda df: rounded(rounded(measures.workload_errors(*(_answers(h) for h in _halves(df))), "max_error"), "mean_squared", places=9))
+add("two_level_error", f"SELECT round(max(max_error), 6) AS max_error, round(avg(mean_squared), 9) AS mean_squared FROM ({_ERRORS})", "lineitem")(
+    lambda df: rounded(rounded(measures.two_level_error(measures.workload_errors(*(_answers(h) for h in _halves(df)))), "max_error"), "mean_squared", places=9).select("max_error", "mean_squared"))
+add("median_distance", "SELECT round(median(sqrt((x.s_acctbal - y.s_acctbal) ** 2 + (x.s_nationkey - y.s_nationkey) ** 2)), 6) AS distance FROM supplier x JOIN supplier y ON x.s_suppkey < y.s_suppkey", "supplier")(
+    lambda df: rounded(measures.median_distance(df, ["s_acctbal", "s_nationkey"], "s_suppkey"), "distance"))
+_MEAN = "(SELECT avg(exp(-((x.s_nationkey - y.s_nationkey) ** 2) / 50.0)) FROM (SELECT * FROM supplier WHERE s_suppkey % 2 = {0}) x, (SELECT * FROM supplier WHERE s_suppkey % 2 = {1}) y)"
+add("mmd_gaussian", f"SELECT round({_MEAN.format(0, 0)} + {_MEAN.format(1, 1)} - 2 * {_MEAN.format(0, 1)}, 9) AS mmd2", "supplier")(
+    lambda df: rounded(measures.mmd_gaussian(df.where("s_suppkey % 2 = 0"), df.where("s_suppkey % 2 = 1"), ["s_nationkey"], "s_suppkey", 5.0), "mmd2", places=9))

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
 import io
 import json
 import zipfile
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -80,3 +82,52 @@ def save_csv(df: DataFrame, path: str) -> None:
 
 def random_table(spark: SparkSession, domain: Domain, n: int, seed: int = 0) -> DataFrame:
     return independent(spark, n, dict(zip(domain.attrs, domain.shape, strict=True)), seed).drop("row_id")
+
+
+# Tables by name, and what is kept between runs.
+
+_SAMPLES: dict[str, Callable[[SparkSession], DataFrame]] = {}
+
+
+def register_sample(name: str, make: Callable[[SparkSession], DataFrame]) -> None:
+    _SAMPLES[name.casefold()] = make
+
+
+def sample(spark: SparkSession, name: str) -> DataFrame:
+    """A registered table; a KeyError names those there are."""
+    if name.casefold() not in _SAMPLES:
+        raise KeyError(f"no sample table {name!r}; there are: {', '.join(sorted(_SAMPLES)) or 'none'}")
+    return _SAMPLES[name.casefold()](spark)
+
+
+def cached(spark: SparkSession, folder: str, key: dict, make: Callable[[], DataFrame]) -> DataFrame:
+    """The Parquet table of a result in folder, by what it was made from (dataset, method, epsilon, preprocessing, ...);
+    made and written if it is not there yet."""
+    digest = hashlib.sha256(json.dumps(key, sort_keys=True, default=str).encode()).hexdigest()[:24]
+    path = f"{folder.rstrip('/')}/{digest}"
+    done = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if not done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done):
+        make().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
+def save_parts(df: DataFrame, path: str, num_columns: Sequence[str], cat_columns: Sequence[str]) -> None:
+    """Decoded records as two Parquet tables with the same row ids: the numerical and the categorical columns."""
+    rows = df if "row_id" in df.columns else df.withColumn("row_id", F.monotonically_increasing_id())
+    for name, columns in (("num", num_columns), ("cat", cat_columns)):
+        rows.select("row_id", *columns).write.mode("overwrite").parquet(f"{path}/{name}")
+
+
+def save_tsv(df: DataFrame, path: str, meta: dict | None = None) -> None:
+    """Tab-separated part files with a header, as the cluster makes them, and the metadata as one JSON line beside them."""
+    df.write.mode("overwrite").option("header", True).option("sep", "\t").csv(path)
+    spark = df.sparkSession
+    kinds = [{"name": f.name, "type": f.dataType.simpleString()} for f in df.schema.fields]
+    spark.range(1).select(F.lit(json.dumps({"columns": kinds, **(meta or {})}, default=str)).alias("value")).coalesce(1).write.mode("overwrite").text(f"{path}.meta")
+
+
+def load_tsv(spark: SparkSession, path: str) -> tuple[DataFrame, dict]:
+    """A table of save_tsv() with the types that its metadata states."""
+    meta = json.loads(spark.read.text(f"{path}.meta").first()["value"])
+    schema = T.StructType([T.StructField(c["name"], T._parse_datatype_string(c["type"])) for c in meta["columns"]])
+    return spark.read.schema(schema).option("header", True).option("sep", "\t").csv(path), meta
