@@ -444,6 +444,27 @@ def test_cover_trees(spark, monkeypatch, block):
     assert covertree.near_vectors(df.limit(0)).count() == 0
 
 
+def test_cover_trees_repeated_ids_and_dimensions(spark):
+    rows = [(1, [1.0, 0.0]), (1, [1.0, 0.01]), (2, [2.0, 0.0]), (3, [1.0, 0.0, 0.0]), (4, None), (4, None)]
+    got = sorted((r.id, r.n_links, r.component_id) for r in covertree.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect())
+    assert got == [(1, 2, 1), (1, 2, 1), (2, 2, 1), (3, 0, 3), (4, 0, 4), (4, 0, 4)]
+
+
+def test_licences_any_words_may_differ(spark):
+    """A template of which the rarest words, or any others that the rule allows, differ; repeated rows; the key phrase elsewhere."""
+    mit = next(t for t in licences.TEMPLATES if t.label == "mit" and not t.base)
+    said, spare, texts = mit.words, len(mit.words) - licences.least_found(mit), []
+    key = range(*licences.key_place(mit))
+    for at in itertools.combinations([k for k in range(len(said)) if k not in key], spare):
+        texts.append((" ".join("other" if k in at else w for k, w in enumerate(said)), True))
+    texts = texts[:: max(1, len(texts) // 150)]
+    texts += [(" ".join("other" if k == key[0] else w for k, w in enumerate(said)) + ", permission is hereby granted", False), (" ".join(said[2:]), False)] * 2
+    df = spark.createDataFrame([(i // 2, t) for i, (t, _) in enumerate(texts)], "doc_id long, text string")
+    got = collections.Counter((r.id, r.labels, round(r.score, 6)) for r in licences.scanned(df).collect())
+    want = collections.Counter((i // 2, "mit" if ok else "", round((len(said) - spare) / len(said), 6) if ok else 0.0) for i, (_, ok) in enumerate(texts))
+    assert got == want
+
+
 def test_licences(spark):
     texts = [None, "", "x. GNU General Public License v3, mit license; CC BY 4.0", "mit license mit license apache-license", "gnu general public", "cc0 by", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files", "word " * 5000 + "Apache License"]
     df = spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)], "doc_id long, text string, words int")

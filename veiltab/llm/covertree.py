@@ -10,8 +10,8 @@ A pair of blocks gives counts of links and a spanning forest of them, never the
 gives about n rows.
 
 Edge cases. A null, zero or empty vector, or one with a null or non-finite component, links with nothing, is its own
-component and kept; vectors of different dimension do not link. Repeated rows and equal vectors are linked with each
-other. An empty table gives no rows. Other columns, whatever their names, are ignored.
+component and kept; vectors of different dimension do not link. Repeated rows, rows that share an id and equal vectors
+are linked with each other as any rows are. An empty table gives no rows. Other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -173,7 +173,7 @@ def spanned(i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[on], nodes[label[on]]
 
 
-def _links(classes: DataFrame, dim: int, threshold: float) -> DataFrame:
+def _links(classes: DataFrame, dim: int, threshold: float, own: common.Scratch) -> DataFrame:
     """Rows (id, n, other): n links more for a class, or a link with other (n = 0). classes: (rep, copies, vec) of one dimension, unit vectors."""
     spark = classes.sparkSession
     bound = math.sqrt(max(0.0, 2 - 2 * threshold))
@@ -192,7 +192,7 @@ def _links(classes: DataFrame, dim: int, threshold: float) -> DataFrame:
             far = np.sqrt(np.maximum(0, 2 - 2 * dots[np.arange(len(x)), cell]))
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), column, pa.array(cell.astype(np.int32)), pa.array(far)], ["rep", "copies", "vec", "cell", "far"])
 
-    dealt = common.written(common.mapped(classes.select("rep", "copies", "vec"), assign, "rep long, copies long, vec array<double>, cell int, far double"), "cells")
+    dealt = own.written(common.mapped(classes.select("rep", "copies", "vec"), assign, "rep long, copies long, vec array<double>, cell int, far double"), "cells")
     cells = {r.cell: (r.n, r.far) for r in dealt.groupBy("cell").agg(F.count("*").alias("n"), F.max("far").alias("far")).collect()}  # one row per centre, SAMPLE at most
     blocks = {c: math.ceil(k / BLOCK) for c, (k, _) in cells.items()}
     plan = []
@@ -201,8 +201,8 @@ def _links(classes: DataFrame, dim: int, threshold: float) -> DataFrame:
             apart = math.sqrt(max(0.0, 2 - 2 * float(centres[c] @ centres[d])))
             if apart <= cells[c][1] + cells[d][1] + bound + _SLACK:
                 plan.append((c, d, blocks[d]))
-    own = F.broadcast(spark.createDataFrame(list(blocks.items()) or [(-1, 1)], "cell int, own int"))  # SAMPLE rows at most
-    placed = dealt.join(own, "cell").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("own")).cast("int"))
+    parts = F.broadcast(spark.createDataFrame(list(blocks.items()) or [(-1, 1)], "cell int, own int"))  # SAMPLE rows at most
+    placed = dealt.join(parts, "cell").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("own")).cast("int"))
 
     def grown(group: pa.Table) -> pa.Table:
         tree = Tree(group.column("vec").combine_chunks().flatten().to_numpy().reshape(-1, dim))
@@ -211,7 +211,7 @@ def _links(classes: DataFrame, dim: int, threshold: float) -> DataFrame:
         return out.append_column("path", pa.ListArray.from_arrays(pa.array(np.arange(len(paths) + 1) * paths.shape[1], pa.int32()), pa.array(paths.ravel())))
 
     # Each block's tree is grown once; a vector carries its place in the tree's order and its node of each level.
-    trees = common.written(placed.select("rep", "copies", "vec", "cell", "block").groupBy("cell", "block").applyInArrow(grown, "rep long, copies long, vec array<double>, cell int, block int, path array<int>"), "trees")
+    trees = own.written(placed.select("rep", "copies", "vec", "cell", "block").groupBy("cell", "block").applyInArrow(grown, "rep long, copies long, vec array<double>, cell int, block int, path array<int>"), "trees")
     meets = F.broadcast(spark.createDataFrame(plan or [(-1, -1, 1)], "cell int, other int, others int"))  # SAMPLE * SAMPLE rows at most
     rows = trees.join(meets, "cell")
     rows = rows.withColumn("against", F.explode(F.sequence(F.lit(0), F.col("others") - 1)))
@@ -249,29 +249,33 @@ def _links(classes: DataFrame, dim: int, threshold: float) -> DataFrame:
 
 
 def near_vectors(table: DataFrame, key: str = "vec_id", vector: str = "embedding", threshold: float = 0.95) -> DataFrame:
-    """Per row: id, n_links (other rows linked directly), component_id (smallest id reachable), kept (id = component_id)."""
+    """Per row: id, n_links (other rows linked directly), component_id (smallest id reachable), kept (id = component_id).
+
+    A written table; what was written on the way is removed."""
     spark = table.sparkSession
     vec = F.col(vector).cast("array<double>")
     norm = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda s, v: s + v * v))
     fine = F.coalesce(~F.exists("vec", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))), F.lit(False))
     top = F.array_max(F.transform("vec", F.abs))  # scaled first, so that no square overflows or vanishes
-    rows = table.select(F.col(key).cast("long").alias("id"), vec.alias("vec")).withColumn("vec", F.when(fine & (top > 0), F.transform("vec", lambda v: v / top)))
-    rows = common.written(rows.withColumn("vec", F.transform("vec", lambda v: v / norm)).withColumn("hash", F.md5(F.col("vec").cast("string"))), "vectors")
-    classes = common.written(rows.where("vec is not null").groupBy("hash", "vec").agg(F.min("id").alias("rep"), F.count("*").alias("copies")), "classes")
-    found = None
-    for (dim,) in classes.select(F.size("vec")).distinct().collect():
-        part = _links(classes.where(F.size("vec") == dim), dim, threshold)
-        found = part if found is None else found.unionAll(part)
-    if found is None:
+    with common.scratch() as own:
+        rows = table.select(F.col(key).cast("long").alias("id"), vec.alias("vec")).withColumn("vec", F.when(fine & (top > 0), F.transform("vec", lambda v: v / top)))
+        rows = own.written(rows.withColumn("vec", F.transform("vec", lambda v: v / norm)).withColumn("hash", F.md5(F.col("vec").cast("string"))), "vectors")
+        classes = rows.where("vec is not null").groupBy("hash", "vec").agg(F.min("id").alias("first"), F.count("*").alias("copies"))
+        classes = own.written(classes.withColumn("rep", F.monotonically_increasing_id()), "classes")  # rows of different vectors may share an id
         found = spark.createDataFrame([], "id long, n long, other long")
-    found = common.written(found, "links")
-    more = found.where("n > 0").groupBy(F.col("id").alias("rep")).agg(F.sum("n").alias("more"))
-    label = common.components(found.where("n = 0").select(F.col("id").alias("a"), F.col("other").alias("b")))
-    known = classes.select("hash", "rep", "copies").join(more, "rep", "left").join(label.withColumnRenamed("node", "rep"), "rep", "left")
-    known = common.written(known.select("hash", "rep", "copies", "more", F.coalesce("component", "rep").alias("component")), "known")
-    return rows.select("id", F.when(F.col("vec").isNotNull(), F.col("hash")).alias("hash")).join(known, "hash", "left").select(
-        "id", F.coalesce(F.col("copies") - 1 + F.coalesce("more", F.lit(0)), F.lit(0)).cast("long").alias("n_links"),
-        (own := F.coalesce("component", "id")).alias("component_id"), (own == F.col("id")).alias("kept"))
+        for (dim,) in classes.select(F.size("vec")).distinct().collect():  # a row per dimension
+            found = found.unionAll(_links(classes.where(F.size("vec") == dim), dim, threshold, own))
+        found = own.written(found, "links")
+        more = found.where("n > 0").groupBy(F.col("id").alias("rep")).agg(F.sum("n").alias("more"))
+        label = common.components(found.where("n = 0").select(F.col("id").alias("a"), F.col("other").alias("b")))
+        own.tables.append(label)
+        known = classes.select("hash", "rep", "first", "copies").join(more, "rep", "left").join(label.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+        least = known.groupBy("component").agg(F.min("first").alias("component_id"))
+        known = own.written(known.join(least, "component").select("hash", (F.col("copies") - 1 + F.coalesce("more", F.lit(0))).cast("long").alias("n_links"), "component_id"), "known")
+        # One row per vector on the right, so Spark may split the rows of a vector that very many share; rows without one are not joined.
+        placed = rows.where("vec is not null").select("id", "hash").join(known, "hash").select("id", "n_links", "component_id")
+        alone = rows.where("vec is null").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
+        return common.written(placed.unionAll(alone).select("id", "n_links", "component_id", (F.col("component_id") == F.col("id")).alias("kept")), "near_vectors")
 
 
 def op6_covertree(spark: SparkSession, sf_dir: str) -> DataFrame:
