@@ -68,6 +68,7 @@ class Tree:
     def _measure(self, x: np.ndarray, starts: list[np.ndarray]) -> None:
         """starts[k] says where the vectors of each node of level k begin, and the end."""
         self.x, self.starts = x, starts
+        self.near = x.astype(np.float32)  # for what may be passed over; links are decided on x
         self.kids = [np.searchsorted(after, s) for s, after in zip(starts, starts[1:], strict=False)] + [starts[-1]]
         self.centres = [s[:-1] for s in starts]
         self.radius = []
@@ -108,35 +109,43 @@ def dual(a: Tree, b: Tree, threshold: float, same: bool) -> Iterator[tuple[np.nd
     bound = math.sqrt(max(0.0, 2 - 2 * threshold))
     if not len(a.x) or not len(b.x):
         return
+    slack = (a.x.shape[1] + 8) * 2.0**-23  # more than products of unit vectors in single precision are off by
     last = len(a.centres)
     stack = [(0, np.arange(len(a.centres[0])), np.arange(len(b.centres[0])))]
     while stack:
         level, p, q = stack.pop()
         vectors = level == last
+        few = 0
+        if not vectors:  # single vectors and narrow nodes first, so that either kind is a slice
+            wide = b.radius[level][q] > 0.25
+            q, few = np.concatenate((q[~wide], q[wide])), len(q) - int(wide.sum())
         ca, cb = (p, q) if vectors else (a.centres[level][p], b.centres[level][q])
+        right = b.near[cb].T
         for s in range(0, len(p), _CHUNK):
-            dots = a.x[ca[s : s + _CHUNK]] @ b.x[cb].T
+            dots = a.near[ca[s : s + _CHUNK]] @ right
             if vectors:
-                i, j = np.nonzero(dots >= threshold)
+                i, j = np.nonzero(dots >= threshold - slack)
                 i, j = p[s + i], q[j]
                 if same:
                     on = i < j
                     i, j = i[on], j[on]
+                on = np.einsum("ij,ij->i", a.x[i], b.x[j]) >= threshold
+                i, j = i[on], j[on]
                 if len(i):
                     yield i, j
                 continue
             # First one limit per row and kind of column (single vectors, and nodes of some extent), then the exact limit.
             mine, theirs = a.radius[level][p[s : s + _CHUNK]], b.radius[level][q]
             i, j = [], []
-            for columns in (np.flatnonzero(theirs <= 0.25), np.flatnonzero(theirs > 0.25)):
-                if len(columns):
-                    widest = mine + theirs[columns].max() + bound + _SLACK
-                    part = dots if len(columns) == len(q) else dots[:, columns]
-                    at, of = np.nonzero(part >= (1 - widest * widest / 2)[:, None])
-                    reach = mine[at] + theirs[columns[of]] + bound + _SLACK
-                    on = part[at, of] >= 1 - reach * reach / 2
+            for first, end in ((0, few), (few, len(q))):
+                if first < end:
+                    widest = mine + theirs[first:end].max() + bound + _SLACK
+                    part = dots[:, first:end]
+                    at, of = np.nonzero(part >= (1 - widest * widest / 2 - slack).astype(np.float32)[:, None])
+                    reach = mine[at] + theirs[first + of] + bound + _SLACK
+                    on = part[at, of] >= 1 - reach * reach / 2 - slack
                     i.append(at[on])
-                    j.append(columns[of[on]])
+                    j.append(first + of[on])
             i, j = np.concatenate(i), np.concatenate(j)
             order = np.argsort(i, kind="stable")
             i, j = i[order], j[order]
