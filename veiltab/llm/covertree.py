@@ -104,6 +104,12 @@ class Tree:
         return out
 
 
+def ranges(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The numbers from each start up to its end, one range after the other; no range is empty."""
+    sizes = ends - starts
+    return np.arange(sizes.sum()) + np.repeat(starts - np.concatenate(([0], np.cumsum(sizes)[:-1])), sizes)
+
+
 def dual(a: Tree, b: Tree, threshold: float, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Rows (i of a, j of b) with cosine >= threshold, in pieces; same: a is b, and only i < j count."""
     bound = math.sqrt(max(0.0, 2 - 2 * threshold))
@@ -150,7 +156,7 @@ def dual(a: Tree, b: Tree, threshold: float, same: bool) -> Iterator[tuple[np.nd
             order = np.argsort(i, kind="stable")
             i, j = i[order], j[order]
             if same:
-                on = p[s + i] <= q[j]
+                on = p[s + i] < q[j] + (a.starts[level][q[j] + 1] - a.starts[level][q[j]] > 1)  # a node of one vector has no pair in itself
                 i, j = i[on], j[on]
             if not len(i):
                 continue
@@ -158,8 +164,7 @@ def dual(a: Tree, b: Tree, threshold: float, same: bool) -> Iterator[tuple[np.nd
             for k, first in enumerate(edge):
                 one, some = p[s + i[first]], q[j[first : edge[k + 1] if k + 1 < len(edge) else len(j)]]
                 kids = np.arange(a.kids[level][one], a.kids[level][one + 1])
-                others = np.concatenate([np.arange(b.kids[level][o], b.kids[level][o + 1]) for o in some])
-                stack.append((level + 1, kids, others))
+                stack.append((level + 1, kids, ranges(b.kids[level][some], b.kids[level][some + 1])))
 
 
 def spanned(i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
