@@ -75,3 +75,15 @@ def discrete_gaussian(variance: Fraction | int) -> int:
         y = discrete_laplace(t)
         if _bernoulli_exp((abs(y) - variance / t) ** 2 / (2 * variance)):
             return y
+
+
+def added(values: np.ndarray, sigma: float, rng: np.random.Generator, exact: bool = False) -> np.ndarray:
+    """Counts with Gaussian noise: of floating-point numbers from rng, or exact ones, that are whole and that no seed repeats."""
+    values = np.asarray(values, float)
+    if not exact:
+        return values + rng.normal(0, sigma, values.shape)
+    if sigma == 0:
+        return values.copy()
+    # The next larger thousandth, so that rounding never lessens the noise.
+    variance = Fraction(math.ceil(sigma * sigma * 1000), 1000)
+    return values + np.array([discrete_gaussian(variance) for _ in range(values.size)], float).reshape(values.shape)

@@ -52,14 +52,16 @@ def _start(domain: Domain, margins: Margins, rows: int, rng: np.random.Generator
     return out
 
 
-def genetic(domain: Domain, margins: Margins, rows: int = 1000, generations: int = 5000, mutants: int = 50, crosses: int = 50, seed: int = 0, patience: int = 500) -> np.ndarray:
+def genetic(domain: Domain, margins: Margins, rows: int = 1000, generations: int = 5000, mutants: int = 50, crosses: int = 50, seed: int = 0, patience: int = 500, start: np.ndarray | None = None) -> np.ndarray:
     """Rows of codes. Each generation offers mutants (one value of one row changed) and crosses (one row takes the
     place of another); the best child follows its parent if it fits better. A child differs in one row, so its
-    error is updated in the few cells that the row leaves and enters."""
+    error is updated in the few cells that the row leaves and enters. start: a table to go on from, of any number of rows."""
+    if start is not None:
+        rows = len(start)
     if not 0 < rows <= MOST_ROWS:
         raise ValueError(f"rows must lie between 1 and {MOST_ROWS}")
     rng, cells = np.random.default_rng(seed), Cells(domain, margins)
-    table = _start(domain, margins, rows, rng)
+    table = _start(domain, margins, rows, rng) if start is None else np.array(start, np.int64)
     gap, idle = cells.counts(table) / rows - cells.wanted, 0
     for _ in range(generations):
         who = rng.integers(0, rows, mutants + crosses)
@@ -87,8 +89,6 @@ def relaxed(domain: Domain, margins: Margins, rows: int = 200, steps: int = 500,
     mean over rows of their products, and the squared error is followed down by Adam. Codes are drawn at the end."""
     if not 0 < rows <= MOST_ROWS:
         raise ValueError(f"rows must lie between 1 and {MOST_ROWS}")
-    if any(len(c) > 2 for c in margins):
-        raise ValueError("the relaxed table takes marginals of one and two attributes")
     rng = np.random.default_rng(seed)
     start = _start(domain, margins, rows, rng)
     logits = {a: rng.normal(0, 0.1, (rows, domain[a])) + 2 * (start[:, k : k + 1] == np.arange(domain[a])) for k, a in enumerate(domain.attrs)}
@@ -105,10 +105,12 @@ def relaxed(domain: Domain, margins: Margins, rows: int = 200, steps: int = 500,
         for c, w in wanted.items():
             if len(c) == 1:
                 slope[c[0]] += p[c[0]].mean(axis=0) - w
-            else:
-                gap = p[c[0]].T @ p[c[1]] / rows - w
-                slope[c[0]] += p[c[1]] @ gap.T
-                slope[c[1]] += p[c[0]] @ gap
+                continue
+            axes = range(1, len(c) + 1)  # axis 0 is the row
+            each = [part for a, k in zip(c, axes, strict=True) for part in (p[a], [0, k])]
+            gap = np.einsum(*each, list(axes), optimize=True) / rows - w
+            for k, a in zip(axes, c, strict=True):
+                slope[a] += np.einsum(gap, list(axes), *each[: 2 * k - 2], *each[2 * k :], [0, k], optimize=True)
         for a in logits:
             g = p[a] * (slope[a] - (slope[a] * p[a]).sum(axis=1, keepdims=True))
             first[a], second[a] = 0.9 * first[a] + 0.1 * g, 0.999 * second[a] + 0.001 * g * g

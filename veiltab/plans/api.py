@@ -23,8 +23,11 @@ from ..operators.overrides import enforce_schema
 
 @dataclass(frozen=True)
 class RunConfig:
+    """exact: measurements carry discrete Gaussian noise of the system's entropy, which no seed repeats."""
+
     seed: int | None = None
     extra: dict[str, Any] = field(default_factory=dict)
+    exact: bool = False
 
 
 class Fitted(Protocol):
@@ -129,18 +132,18 @@ def fit_marginals(df: DataFrame, kinds: dict[str, dict], privacy: PrivacySpec, c
         value = float(np.abs(joint - np.outer(joint.sum(1), joint.sum(0)) / n).sum())
         scores[(a, b)] = value + rng.normal(0, np.sqrt(8 * len(pairs) / rho))
     rho = ledger.share("single attributes", 0.1)
-    margins = {(a,): counts[(a,)] + rng.normal(0, gaussian_sigma(1, rho / len(domain)), domain[a]) for a in domain.attrs}
+    margins = {(a,): noise.added(counts[(a,)], gaussian_sigma(1, rho / len(domain)), rng, config.exact) for a in domain.attrs}
     rho = ledger.share("chosen pairs", 0.8)
     chosen = select.greedy_pairs(scores, {p: domain.size(p) for p in pairs}, rho, config.extra.get("threshold", 0.0))
     parts = {p: domain.size(p) ** (2 / 3) for p in chosen}
     for p in chosen:
-        margins[p] = counts[p] + rng.normal(0, gaussian_sigma(1, rho * parts[p] / sum(parts.values())), counts[p].shape)
+        margins[p] = noise.added(counts[p], gaussian_sigma(1, rho * parts[p] / sum(parts.values())), rng, config.exact)
     margins = consistency.consistent(domain, margins)
     return MarginalModel(codes, margins, df.select(*kinds).schema, df.sparkSession, config.extra.get("rounds", 3), ledger)
 
 
 def fit_independent(df: DataFrame, kinds: dict[str, dict], privacy: PrivacySpec, config: RunConfig) -> MarginalModel:
-    return fit_marginals(df, kinds, privacy, RunConfig(config.seed, {**config.extra, "threshold": float("inf"), "rounds": 0}))
+    return fit_marginals(df, kinds, privacy, RunConfig(config.seed, {**config.extra, "threshold": float("inf"), "rounds": 0}, config.exact))
 
 
 @dataclass
@@ -177,7 +180,7 @@ def fit_adaptive(df: DataFrame, kinds: dict[str, dict], privacy: PrivacySpec, co
 
     def measure(clique: tuple[str, ...]) -> None:
         ledger.charge(f"measure {','.join(clique)}", 0.5 / sigma**2)
-        measured.append(graphical.Measurement(clique, counts[clique] + rng.normal(0, sigma, counts[clique].shape), sigma))
+        measured.append(graphical.Measurement(clique, noise.added(counts[clique], sigma, rng, config.exact), sigma))
 
     for a in domain.attrs:
         measure((a,))
@@ -222,7 +225,7 @@ def _fit_search(find: Callable[..., np.ndarray]) -> Callable[..., TableFit]:
         codes, ledger, rng = Codes(kinds), privacy.ledger(), noise.generator(config.seed)
         counts = counted(codes.encoded(df), codes.domain, (1, 2))
         sigma = gaussian_sigma(1, ledger.share("marginals", 1.0) / len(counts))
-        noisy = {c: v + rng.normal(0, sigma, v.shape) for c, v in counts.items()}
+        noisy = {c: noise.added(v, sigma, rng, config.exact) for c, v in counts.items()}
         margins = consistency.consistent(codes.domain, noisy, rounds=20)
         return TableFit(codes, find(codes.domain, margins, seed=config.seed or 0, **config.extra), df.select(*kinds).schema, df.sparkSession, ledger)
 

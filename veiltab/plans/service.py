@@ -13,12 +13,12 @@ from ..functions.privacy import PrivacySpec
 from ..operators import evaluate, measures
 from ..operators.overrides import check_domain
 from ..sources import tables
-from . import api
+from . import api, structured  # noqa: F401 (registers its methods)
 
 # The parameters that hold where none are given.
 DEFAULTS = {"epsilon": 1.0, "delta": 1e-5, "method": "marginals", "bins": 32, "rounds": 3, "degree": 2, "cells": 250_000}
 #: Advanced keys that go to a method as they are.
-ADVANCED = ("threshold", "rounds", "degree", "cells", "steps", "population", "records", "iterations")
+ADVANCED = ("threshold", "rounds", "degree", "cells", "steps", "population", "records", "iterations", "set_cells", "first", "picks", "choice", "picked", "patience_rounds")
 
 
 @dataclass
@@ -48,7 +48,7 @@ def kinds_of(domain: dict, bins: int) -> dict[str, dict]:
     return out
 
 
-def run_synthesis(df: DataFrame, method: str = DEFAULTS["method"], epsilon: float = DEFAULTS["epsilon"], delta: float = DEFAULTS["delta"], n: int | None = None, domain: dict | None = None, seed: int | None = None, **advanced: object) -> Result:
+def run_synthesis(df: DataFrame, method: str = DEFAULTS["method"], epsilon: float = DEFAULTS["epsilon"], delta: float = DEFAULTS["delta"], n: int | None = None, domain: dict | None = None, seed: int | None = None, exact: bool = False, **advanced: object) -> Result:
     """Infers what is not confirmed, fits, draws as many records as the table has unless n says else.
 
     domain: confirmed metadata by column, as tables.metadata() gives it; columns outside it are left out. advanced: keys of
@@ -59,7 +59,7 @@ def run_synthesis(df: DataFrame, method: str = DEFAULTS["method"], epsilon: floa
     domain = found if domain is None else {c: {**found[c], **d} for c, d in domain.items()}
     kinds = kinds_of(domain, int(advanced.pop("bins", DEFAULTS["bins"])))
     rows = info["rows"] if n is None else n
-    made = api.synthesize(method, df, kinds, PrivacySpec(epsilon, delta), rows, api.RunConfig(seed, dict(advanced)))
+    made = api.synthesize(method, df, kinds, PrivacySpec(epsilon, delta), rows, api.RunConfig(seed, dict(advanced), exact))
     return Result(made, domain, info, df.select(*kinds))
 
 
@@ -74,6 +74,7 @@ def parser() -> argparse.ArgumentParser:
     out.add_argument("--bins", type=int, default=DEFAULTS["bins"])
     out.add_argument("--rounds", type=int, help="update rounds")
     out.add_argument("--seed", type=int)
+    out.add_argument("--exact", action="store_true", help="measure with discrete Gaussian noise, that no seed repeats")
     out.add_argument("--domain", help="a JSON file of confirmed metadata")
     out.add_argument("--metrics", action="store_true", help="print the records' scores as JSON")
     return out
@@ -88,7 +89,7 @@ def main(argv: Sequence[str] | None = None) -> int:
             domain = json.load(f)
             domain = domain.get("domain", domain)
     more = {"rounds": args.rounds} if args.rounds is not None else {}
-    result = run_synthesis(tables.load(spark, args.input), args.method, args.epsilon, args.delta, args.records, domain, args.seed, bins=args.bins, **more)
+    result = run_synthesis(tables.load(spark, args.input), args.method, args.epsilon, args.delta, args.records, domain, args.seed, args.exact, bins=args.bins, **more)
     result.records.write.mode("overwrite").parquet(args.output)
     if args.metrics:
         result.records = spark.read.parquet(args.output)
