@@ -37,6 +37,33 @@ def test_strategy():
     assert np.mean(errors) == pytest.approx(workloads.squared_error(w.T @ w, found), rel=0.2)
 
 
+def test_unions():
+    cells = np.arange(12.0)
+    w = workloads.Union((workloads.Product((workloads.prefix(3), workloads.total(4))), workloads.Product((workloads.total(3), workloads.ranges(4)), 2.0)))
+    assert w.answers(cells) == pytest.approx(w.dense() @ cells) and w.shape == w.dense().shape
+    assert w.sensitivity(1) == pytest.approx(np.abs(w.dense()).sum(axis=0).max()) and w.sensitivity(2) == pytest.approx(np.sqrt((w.dense() ** 2).sum(axis=0).max()))
+    quiet = lambda scale, n: np.zeros(n)
+    for make in (workloads.union_strategy, workloads.best_template):
+        found = make(w, restarts=1)
+        assert found.answered(w, cells, 1.0, quiet) == pytest.approx(w.answers(cells))
+        rng = np.random.default_rng(0)
+        drawn = [((found.answered(w, cells * 0, 1.0, lambda s, n: rng.laplace(0, s, n))) ** 2).sum() for _ in range(600)]  # noqa: B023
+        assert np.mean(drawn) == pytest.approx(found.error(w), rel=0.2)
+    split = workloads.union_strategy(w, restarts=1)
+    assert sum(split.shares) == pytest.approx(1) and workloads.best_template(w, restarts=1).error(w) <= split.error(w)
+    even = workloads.UnionStrategy(split.parts, (0.5, 0.5))
+    assert split.error(w) <= even.error(w) + 1e-9
+    whole = workloads.Union((workloads.Product((workloads.identity(6),)), workloads.Product((workloads.identity(6),))))
+    assert workloads.best_template(whole, restarts=1).shared  # the cells, measured once, serve both
+    p = workloads.product_strategy(w.parts[1], restarts=1)
+    assert workloads.product_error(w.parts[1], p) == pytest.approx(workloads.squared_error(w.parts[1].dense().T @ w.parts[1].dense(), p.dense()))
+    a, b = workloads.prefix(2), workloads.total(3)
+    assert workloads.block_diagonal(a, b).tolist() == [[1, 0, 0, 0, 0], [1, 1, 0, 0, 0], [0, 0, 1, 1, 1]]
+    assert workloads.side_by_side(a, a).shape == (2, 4) and workloads.weighted(a, [1, 3]).tolist() == [[1, 0], [3, 3]]
+    with pytest.raises(ValueError):
+        workloads.Union((workloads.Product((a,)), workloads.Product((b,))))
+
+
 def test_hierarchy(spark):
     df = spark.createDataFrame([(1,), (1,), (1,), (1,), (2,), (3,), (4,), (5,), (None,)], "x int")
     table = hierarchy.hierarchy(df, "x", 2, 2)

@@ -182,3 +182,105 @@ def measured(cells: np.ndarray, strategy: np.ndarray | Product, epsilon: float,
     a = strategy if isinstance(strategy, Product) else Product((strategy,))
     true = a.answers(cells)
     return a.pinv().answers(true + laplace(a.sensitivity() / epsilon, len(true)))
+
+
+# Matrices put together, and strategies for unions of workloads.
+
+
+def weighted(matrix: np.ndarray, weights: Sequence[float] | float) -> np.ndarray:
+    """Each query times its weight."""
+    return np.broadcast_to(np.asarray(weights, float), len(matrix))[:, None] * matrix
+
+
+def side_by_side(*parts: np.ndarray) -> np.ndarray:
+    """Queries over the cells of one part after the other's: the n-th query sums the n-th of each."""
+    return np.hstack(parts)
+
+
+def block_diagonal(*parts: np.ndarray) -> np.ndarray:
+    """The queries of each part over cells of its own."""
+    out = np.zeros((sum(len(p) for p in parts), sum(p.shape[1] for p in parts)))
+    row = column = 0
+    for p in parts:
+        out[row : row + len(p), column : column + p.shape[1]] = p
+        row, column = row + len(p), column + p.shape[1]
+    return out
+
+
+@dataclass(frozen=True)
+class Union:
+    """Products over the same cells, one after the other; never multiplied out."""
+
+    parts: tuple[Product, ...]
+
+    def __post_init__(self):
+        if not self.parts or len({p.shape[1] for p in self.parts}) > 1:
+            raise ValueError("a union has parts, all over the same cells")
+
+    @property
+    def shape(self) -> tuple[int, int]:
+        return sum(p.shape[0] for p in self.parts), self.parts[0].shape[1]
+
+    def answers(self, cells: np.ndarray) -> np.ndarray:
+        return np.concatenate([p.answers(cells) for p in self.parts])
+
+    def sensitivity(self, norm: int = 1) -> float:
+        """The largest norm of a column; a product's column norms are products of its parts'."""
+
+        def columns(p: Product) -> np.ndarray:
+            return abs(p.weight) ** norm * reduce(np.kron, [(np.abs(m) ** norm).sum(axis=0) for m in p.parts])
+
+        return float(sum(columns(p) for p in self.parts).max() ** (1 / norm))
+
+    def dense(self) -> np.ndarray:
+        return np.vstack([p.dense() for p in self.parts])
+
+
+def product_error(workload: Product, strategy: Product, epsilon: float = 1.0) -> float:
+    """Expected total squared error of a product through a product, with Laplace noise: a trace per attribute."""
+    inverses = (np.linalg.pinv(s.T @ s) for s in strategy.parts)
+    traces = [float(np.sum(i * (w.T @ w))) for i, w in zip(inverses, workload.parts, strict=True)]
+    return 2 * (strategy.sensitivity() / epsilon) ** 2 * (workload.weight / strategy.weight) ** 2 * float(np.prod(traces))
+
+
+@dataclass(frozen=True)
+class UnionStrategy:
+    """A strategy of sensitivity one for each part of a union, and its share of the budget."""
+
+    parts: tuple[Product, ...]
+    shares: tuple[float, ...]
+
+    @property
+    def shared(self) -> bool:
+        """One strategy, measured once, serves all parts."""
+        return all(p is self.parts[0] for p in self.parts) and all(s == 1 for s in self.shares)
+
+    def error(self, workload: Union, epsilon: float = 1.0) -> float:
+        return sum(product_error(w, s, epsilon * share) for w, s, share in zip(workload.parts, self.parts, self.shares, strict=True))
+
+    def answered(self, workload: Union, cells: np.ndarray, epsilon: float, laplace: Callable[[float, int], np.ndarray]) -> np.ndarray:
+        """The union's answers, each part's from its own measurements, or all from the one that serves them; together they spend epsilon."""
+        if self.shared:
+            return workload.answers(measured(cells, self.parts[0], epsilon, laplace))
+        return np.concatenate([w.answers(measured(cells, s, epsilon * share, laplace)) for w, s, share in zip(workload.parts, self.parts, self.shares, strict=True)])
+
+
+def union_strategy(workload: Union, **options) -> UnionStrategy:
+    """Each part is optimised by itself. With Laplace noise a part's error falls with the square of its share, so the sum
+    is least where shares are as the cube roots of the errors."""
+    parts = tuple(product_strategy(p, **options) for p in workload.parts)
+    roots = [product_error(w, s) ** (1 / 3) for w, s in zip(workload.parts, parts, strict=True)]
+    return UnionStrategy(parts, tuple(r / sum(roots) for r in roots))
+
+
+def best_template(workload: Union, **options) -> UnionStrategy:
+    """The best of: a strategy for each part; the cells alone for all parts; one strategy, that of any part, for all.
+
+    A strategy that serves all parts is measured once with the whole budget (its share is 1 in each part)."""
+    offered = [union_strategy(workload, **options)]
+    single = [Product(tuple(identity(m.shape[1]) for m in workload.parts[0].parts)), *offered[0].parts]
+    n = len(workload.parts)
+    for s in single:
+        if all(np.linalg.matrix_rank(m) == m.shape[1] for m in s.parts):  # it answers any query
+            offered.append(UnionStrategy((s,) * n, (1.0,) * n))
+    return min(offered, key=lambda o: o.error(workload))
