@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from veiltab.functions.domain import Domain
-from veiltab.operators import consistency, encode, evaluate, graphical, gum, measures, preprocess, select, synth
+from veiltab.operators import consistency, distances, encode, evaluate, graphical, gum, measures, preprocess, select, synth
 from veiltab.plans import service
 from veiltab.sources import tables
 
@@ -87,6 +87,43 @@ def test_smoothing_and_chains():
     assert measures.workload_sensitivity(5, 100) == pytest.approx(math.sqrt(10) / 100)
 
 
+def test_median_of_all_pairs(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, round(float(rng.normal(0, 50)), 2), int(rng.integers(0, 9))) for i in range(1500)]
+    rows += [(2000 + i, *r[1:]) for i, r in enumerate(rows[:300])]  # equal rows
+
+    def agrees(rows):
+        whole = [r for r in rows if None not in r]
+        ids, x = np.array([r[0] for r in whole]), np.array([r[1:] for r in whole], float)
+        i, j = np.triu_indices(len(whole), 1)
+        i, j = i[ids[i] != ids[j]], j[ids[i] != ids[j]]
+        with np.errstate(invalid="ignore"):
+            far = np.sort(np.sqrt(((x[i] - x[j]) ** 2).sum(axis=1)))  # NaN last, as in SQL
+        want = 0.5 * far[(len(far) - 1) // 2] + 0.5 * far[len(far) // 2]
+        got = measures.median_distance(spark.createDataFrame(rows, "id long, a double, b int"), ["a", "b"], "id").first().distance
+        assert got == pytest.approx(want, rel=1e-12)
+
+    agrees(rows)
+    agrees([(None if k % 17 == 0 else r[0] % 90, None if k % 7 == 0 else r[1], None if k % 11 == 0 else r[2]) for k, r in enumerate(rows)])
+    agrees([(r[0], math.inf if k % 2 else r[1], r[2]) for k, r in enumerate(rows[:200])])
+    assert measures.median_distance(spark.createDataFrame([(1, 2.0), (1, 3.0)], "id long, a double"), ["a"], "id").first().distance is None
+
+
+def test_pairs_of_tiles():
+    rng = np.random.default_rng(6)
+    x, n = np.sort(rng.normal(0, 9, 300))[:, None], rng.integers(1, 4, 300)
+    each = np.repeat(x, n)
+    i, j = np.triu_indices(len(each), 1)
+    bits = np.sort(((each[i] - each[j]) ** 2).view(np.int64))
+    for lo, hi, inside in ((0, int(bits[-1]), len(bits)), (int(bits[9000]), int(bits[50_000]), len(bits)), (int(bits[9000]), int(bits[9500]), 501), (0, 0, 9)):
+        b = distances.Bracket(lo, hi, inside)
+        want = distances.summed(b.place(bits[bits <= lo + ((b.last + 1) << b.shift) - 1]), np.ones(int((bits <= lo + ((b.last + 1) << b.shift) - 1).sum()), np.int64))
+        got = distances.tally(x, n, x, n, True, b)
+        halves = [distances.tally(x[p], n[p], x[q], n[q], p == q, b) for p, q in ((slice(0, 99), slice(0, 99)), (slice(0, 99), slice(99, 300)), (slice(99, 300), slice(99, 300)))]
+        for places, counts in (got, distances.summed(*(np.concatenate(v) for v in zip(*halves, strict=True)))):
+            assert places.tolist() == want[0].tolist() and counts.tolist() == want[1].tolist()
+
+
 def test_public_samples(people):
     n = people.count()
     some = measures.public_sample(people, "row_id", 0.25, 1)

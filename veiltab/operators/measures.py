@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.domain import Domain
 from ..functions.privacy import gaussian_sigma
+from .distances import median_of_pairs
 from .encode import uniform_bin
 from .ranks import in_cells
 
@@ -156,11 +157,10 @@ def _squared(columns: Sequence[str]) -> Column:
     return out
 
 
-def median_distance(df: DataFrame, columns: Sequence[str], row_id: str, seed: int = 0, most: int = SAMPLE) -> DataFrame:
-    """The median distance of two rows of a sample of `most` (most * (most - 1) / 2 pairs)."""
-    some = few(df, row_id, seed, most).select(row_id, *columns)
-    pairs = some.alias("x").join(F.broadcast(some.alias("y")), F.col(f"x.{row_id}") < F.col(f"y.{row_id}"))
-    return pairs.agg(F.median(F.sqrt(_squared(columns))).alias("distance"))
+def median_distance(df: DataFrame, columns: Sequence[str], row_id: str, seed: int = 0, most: int | None = None) -> DataFrame:
+    """The median distance of two rows with different ids, of all rows or, if `most` is given, of a sample of so many."""
+    some = df if most is None else few(df, row_id, seed, most)
+    return df.sparkSession.createDataFrame([(median_of_pairs(some, columns, row_id),)], "distance double")
 
 
 def mmd_gaussian(x: DataFrame, y: DataFrame, columns: Sequence[str], row_id: str, sigma: float, seed: int = 0, most: int = SAMPLE) -> DataFrame:
