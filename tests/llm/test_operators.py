@@ -13,6 +13,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from veiltab.llm import boilerplate, common, covertree, ctw, decontaminate, html, licences, minhash, packing, toxicity, warc, words
 
@@ -530,6 +531,25 @@ def test_decontamination(spark):
     assert not any(r.contaminated for r in decontaminate.judged(left, right.limit(0)).collect())
 
 
+def test_decontamination_finds_words_once(spark, monkeypatch):
+    """The words of a text without hits are those of WORD, and are found once."""
+    texts = [None, "", " .", "A-b_c", "  É éİ,ß 語\x00\x7f\x80😀 z\n", "K 0Z9z...", "a"] + [f"text {i} has words, " * 3 for i in range(30)]
+    left = spark.createDataFrame([(i, t, re.findall(decontaminate.WORD, lowered(t))) for i, t in enumerate(texts)], "doc_id long, text string, words array<string>")
+    right = spark.createDataFrame([(0, "Quite another passage of a benchmark, and it is found in none of those.")], "item_id long, text string")
+    got = left.select(decontaminate.tokens(left.text).alias("got"), F.transform("words", lambda w: F.xxhash64(w)).alias("want")).collect()
+    assert len(got) == len(texts) and all(r.got == r.want for r in got)
+    calls, plain = spark.sparkContext.accumulator(0), decontaminate.tokens
+
+    def counted(t):
+        if not (t or "").startswith("Quite"):
+            calls.add(1)
+        return t
+
+    seen = F.udf(counted)
+    monkeypatch.setattr(decontaminate, "tokens", lambda text: plain(seen(text)))
+    assert decontaminate.overlaps(left, right).count() == 0 and calls.value == len(texts)
+
+
 def test_every_passing_window_is_seeded(spark):
     """All substitutions that the rule allows, in otherwise whole copies of items of 9 to 13 words and of 14."""
     items, docs = [], []

@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 from . import common
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: What stands between words: splitting there takes a small part of the time of finding every word.
+GAP = WORD.replace("^", "")
 SPAN, WINDOW, PERCENT = 9, 13, 80
 #: For items of WINDOW tokens or more: any 13 tokens of which any 2 differ hold a whole seed of one of them.
 MASKS = ("11101011", "110100111")
@@ -32,12 +34,16 @@ LIGHT = ("111011", "1101011", "1110011")
 
 def tokens(text: Column) -> Column:
     """Hashes of the words, A-Z lowered, without punctuation."""
-    return F.transform(F.regexp_extract_all(common.lower_ascii(text), F.lit(f"({WORD})"), 1), lambda w: F.xxhash64(w))
+    return F.transform(F.filter(F.split(common.lower_ascii(text), GAP), lambda w: w != ""), lambda w: F.xxhash64(w))
 
 
 def seeds(rows: DataFrame, masks: tuple[str, ...]) -> DataFrame:
-    """rows (id, tokens) to (id, at, seed): a seed of each mask at each position where the mask fits."""
-    placed = rows.select("id", "tokens", F.explode(F.sequence(F.lit(0), F.size("tokens") - 1)).alias("at")).where(F.col("at") + min(map(len, masks)) <= F.size("tokens"))
+    """rows (id, tokens) to (id, at, seed): a seed of each mask at each position where the mask fits.
+
+    Rows without tokens go here: a filter on tokens before would be pushed below and find the words of every text twice."""
+    shortest = min(map(len, masks))
+    places = F.when(F.size("tokens") >= shortest, F.sequence(F.lit(0), F.size("tokens") - shortest))
+    placed = rows.select("id", "tokens", F.explode(places).alias("at"))
 
     def seed(mask: str) -> Column:
         return F.when(F.col("at") + len(mask) <= F.size("tokens"), F.xxhash64(F.lit(int(mask, 2)), *(F.get("tokens", F.col("at") + o) for o, bit in enumerate(mask) if bit == "1")))
@@ -60,7 +66,7 @@ def overlaps(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str =
         for n in short:
             whole = whole.unionAll(seeds(named.where(F.size("tokens") == n), ("1" * n,)))
         table = own.written(whole.select("seed", F.col("id").alias("item_id"), F.col("at").alias("item_at")).distinct(), "seeds")
-        rows = docs.select(F.col(key).cast("long").alias("id"), tokens(F.col(text)).alias("tokens")).where(F.size("tokens") > 0)
+        rows = docs.select(F.col(key).cast("long").alias("id"), tokens(F.col(text)).alias("tokens"))
         hits = seeds(rows, masks).join(common.small(table), "seed").select("id", "item_id", (F.col("at") - F.col("item_at")).alias("diagonal")).distinct()
         hits = own.written(hits, "hits")
         ids = own.written(hits.select("id").distinct(), "ids")
